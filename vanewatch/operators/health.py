@@ -152,6 +152,12 @@ def trend_forecast(fits: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     return fits.withColumn("forecast", F.transform(F.sequence(F.lit(1), F.lit(days)), value))
 
 
+def fit_rmse(df: DataFrame, keys: list[str], actual: str, fitted: str) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.sqrt(F.avg(F.pow(F.col(actual) - F.col(fitted), 2))).alias("rmse")
+    )
+
+
 def sustained_offset(
     daily: DataFrame, column: str, threshold: float, min_days: int
 ) -> DataFrame:
