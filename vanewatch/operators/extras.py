@@ -13,7 +13,7 @@ from vanewatch.operators.ranking import numbered
 def in_sequence(readings: DataFrame) -> DataFrame:
     """Number each turbine's readings per sensor by time and attach the value they start from."""
     keys = ["turbine_id", "sensor"]
-    ordered = numbered(readings, keys, time_bucket("time", DAY), ["time"], "position", ["time"])
+    ordered = numbered(readings, keys, time_bucket("time", DAY), ["time"], "position")
     start = readings.groupBy(*keys).agg(F.min_by("value", "time").alias("first_value"))
     return attach(ordered, start, keys, ["time"])
 

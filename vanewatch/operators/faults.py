@@ -120,7 +120,5 @@ def top_categories(events: DataFrame, other: str) -> DataFrame:
 def timeline(events: DataFrame) -> DataFrame:
     """Position of each event on its farm's timeline, by start and id."""
     day = F.floor(F.unix_seconds("event_start") / F.lit(86400))
-    ranked = numbered(
-        events, ["farm"], day, ["event_start", "event_id"], "_position", ["event_id"]
-    )
+    ranked = numbered(events, ["farm"], day, ["event_start", "event_id"], "_position")
     return ranked.withColumn("position", F.col("_position") - 1).drop("_position")

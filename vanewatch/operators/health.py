@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,32 +113,28 @@ def trend_fit(
 ) -> DataFrame:
     """Best damped-trend parameters of each asset over a grid, with the fit's RMSE.
 
-    The grid is a literal array searched inside the row; series are what Spark spreads. Equal
-    errors (to nine digits) go to the smaller parameters.
+    Every (series, parameters) pair is folded on its own row; rows of an asset are already
+    together, so picking the best needs no shuffle. Equal errors (to nine digits) go to the
+    smaller parameters.
     """
     grid = F.array(
         *[
-            F.struct(
-                F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta"), F.lit(float(p)).alias("phi")
-            )
-            for a in alphas for b in betas for p in phis
+            F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("alpha", "beta", "phi"), point)])
+            for point in product(alphas, betas, phis)
         ]
     )
-
-    def candidate(g: Column) -> Column:
-        fit = _smooth(F.col("values"), g["alpha"], g["beta"], g["phi"])
-        return F.struct(
-            F.round(fit["sse"], 9).alias("rounded"), g["alpha"].alias("alpha"), g["beta"].alias("beta"),
-            g["phi"].alias("phi"), fit["level"].alias("level"), fit["trend"].alias("trend"),
-            fit["sse"].alias("sse"),
-        )
-
-    best = F.array_min(F.transform(grid, candidate))
-    return (
-        arrays.withColumn("_best", best)
-        .select(*ASSET, "n_days", "_best.alpha", "_best.beta", "_best.phi", "_best.level", "_best.trend",
-                F.sqrt(F.col("_best.sse") / F.col("n_days")).alias("fit_rmse"))
+    tried = arrays.withColumn("_g", F.explode(grid)).select(*ASSET, "n_days", "values", "_g.*")
+    folded = tried.withColumn(
+        "_fit", _smooth(F.col("values"), F.col("alpha"), F.col("beta"), F.col("phi"))
+    )
+    candidate = F.struct(
+        F.round("_fit.sse", 9).alias("rounded"), "alpha", "beta", "phi", "_fit.level", "_fit.trend",
+        "_fit.sse",
     )
+    best = folded.groupBy(*ASSET, "n_days").agg(F.min(candidate).alias("_best"))
+    fields = [f"_best.{n}" for n in ("alpha", "beta", "phi", "level", "trend")]
+    rmse = F.sqrt(F.col("_best.sse") / F.col("n_days"))
+    return best.select(*ASSET, "n_days", *fields, rmse.alias("fit_rmse"))
 
 
 def trend_forecast(fits: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:

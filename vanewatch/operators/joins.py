@@ -22,15 +22,19 @@ DAY = 86400
 MONTH = 30 * DAY
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a frame from one aggregate pass: 16 bytes a field plus the text it holds."""
+def measured_bytes(df: DataFrame, copies: Column | None = None) -> int:
+    """Size of a frame from one aggregate pass: 16 bytes a field plus the text it holds.
+
+    ``copies`` is how often each row is going to be repeated.
+    """
     width = F.lit(16 * len(df.columns)).cast("bigint")
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
-    return df.agg(F.sum(width).alias("n")).first()["n"] or 0
+    total = width if copies is None else width * copies
+    return df.agg(F.sum(total).alias("n")).first()["n"] or 0
 
 
 def broadcast_within(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -103,6 +107,14 @@ def prior_max(
     )
 
 
+def fits_in_buckets(
+    spans: DataFrame, bucket_seconds: int, limit: int, lo: str = "_lo", hi: str = "_hi"
+) -> bool:
+    """Can the spans, one copy per time bucket they touch, be broadcast."""
+    touched = time_bucket(hi, bucket_seconds) - time_bucket(lo, bucket_seconds) + 1
+    return limit > 0 and measured_bytes(spans, touched) <= limit
+
+
 def first_started_segments(
     events: DataFrame, keys: list[str], event_id: str, start: str, end: str
 ) -> DataFrame:
@@ -145,19 +157,20 @@ def interval_lookup(
     segments: DataFrame,
     keys: list[str],
     clock: str,
+    small: bool,
     how: str = "left",
     bucket_seconds: int = DAY,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join each row to the disjoint segment ``[_lo, _hi]`` of its key that holds its clock.
+    """Join each row to the segments ``[_lo, _hi]`` of its key that hold its clock.
 
     Both sides get the number of a time bucket, which makes this an equi-join with a range
-    check inside one bucket: a broadcast hash join for a measured small segment side, a
-    shuffle on (keys, bucket) otherwise, where even a hot key is spread over its buckets.
+    check inside one bucket: a broadcast hash join if the segments were measured to be
+    ``small``, a shuffle on (keys, bucket) otherwise, where even a hot key is spread over its
+    buckets. With disjoint segments a row finds at most one.
     """
     spans = F.sequence(time_bucket("_lo", bucket_seconds), time_bucket("_hi", bucket_seconds))
     by_bucket = segments.withColumn("_bucket", F.explode(spans))
-    right = broadcast_within(by_bucket, broadcast_bytes).alias("seg")
+    right = (F.broadcast(by_bucket) if small else by_bucket).alias("seg")
     left = rows.withColumn("_bucket", time_bucket(clock, bucket_seconds)).alias("row")
     condition = F.col("row._bucket") == F.col("seg._bucket")
     for key in keys:

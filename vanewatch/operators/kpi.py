@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanewatch.domain import DOWNTIME_STATUS, REDUCED_STATUS
-from vanewatch.operators.joins import BROADCAST_BYTES, attach
+from vanewatch.operators.joins import BROADCAST_BYTES, attach, measured_bytes
 
 
 def turbine_counts(rows: DataFrame) -> DataFrame:
@@ -29,15 +29,21 @@ def status_lead_time(
         .groupBy(*group)
         .agg(F.min(at).alias("_down"))
     )
-    leading = attach(narrow, down, group, ["id"], "inner", broadcast_bytes=broadcast_bytes).where(
-        at < F.col("_down")
-    )
+    # One row per group; the later table has no more rows than this one.
+    small = broadcast_bytes > 0 and measured_bytes(down) <= broadcast_bytes // 2
+
+    def beside(dimension: DataFrame) -> DataFrame:
+        if small:
+            return narrow.join(F.broadcast(dimension), group)
+        return attach(narrow, dimension, group, ["id"], "inner", broadcast_bytes=0)
+
+    leading = beside(down).where(at < F.col("_down"))
     reduced = F.coalesce(F.col("status_type_id").isin(REDUCED_STATUS), F.lit(False))
     marks = leading.groupBy(*group).agg(
         F.max(F.when(~reduced, at)).alias("_barrier"), F.min("_down").alias("_down")
     )
     onset = (
-        attach(narrow, marks, group, ["id"], "inner", broadcast_bytes=broadcast_bytes)
+        beside(marks)
         .where((at < F.col("_down")) & (F.col("_barrier").isNull() | (at > F.col("_barrier"))))
         .groupBy(*group)
         .agg(F.min("time_stamp").alias("onset_time"), F.min("_down.time_stamp").alias("down_time"))

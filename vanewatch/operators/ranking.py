@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vanewatch.operators.joins import BROADCAST_BYTES, attach
+from vanewatch.operators.joins import attach
 
 
 def newest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -15,18 +15,13 @@ def newest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -
 
 
 def numbered(
-    df: DataFrame,
-    group: list[str],
-    bucket: Column,
-    order: list,
-    name: str,
-    salt_on: list[str],
-    broadcast_bytes: int = BROADCAST_BYTES,
+    df: DataFrame, group: list[str], bucket: Column, order: list, name: str
 ) -> DataFrame:
     """Row number inside ``group``, where ``bucket`` never decreases along ``order``.
 
     Rows are numbered inside (group, bucket) only; the sizes of the earlier buckets, a small
-    table from a map-side combined count, give the offset.
+    table from a map-side combined count, give the offset. The numbered rows are already laid
+    out by (group, bucket), so adding the offset does not shuffle them again.
     """
     tagged = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
@@ -42,7 +37,7 @@ def numbered(
     inside = Window.partitionBy(*keys).orderBy(*order)
     local = tagged.withColumn("_local", F.row_number().over(inside))
     return (
-        attach(local, offsets, keys, salt_on, "inner", broadcast_bytes=broadcast_bytes)
+        local.join(offsets, keys)
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop("_bucket", "_offset", "_local")
     )
@@ -54,7 +49,7 @@ def every_nth(
     """Rows 0, n, 2n, ... of each group in ``order``, an increasing number such as a row id."""
     step = stride if isinstance(stride, Column) else F.lit(stride)
     ranked = numbered(
-        df, group, F.floor(F.col(order) / F.lit(bucket_rows)), [order], "_row", [order]
+        df, group, F.floor(F.col(order) / F.lit(bucket_rows)), [order], "_row"
     )
     return ranked.where(F.pmod(F.col("_row") - 1, step) == 0).drop("_row")
 

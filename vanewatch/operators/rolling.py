@@ -41,7 +41,7 @@ def rolling_features(
     keep: list[str] | None = None,
     hours: list[int] | None = None,
     keys: list[str] | None = None,
-    chunk_hours: int = 7 * 24,
+    chunk_hours: int = 3 * 24,
 ) -> DataFrame:
     """``{sensor}_avg_{h}h`` and sample-deviation ``{sensor}_std_{h}h`` per row.
 
@@ -66,7 +66,7 @@ def rolling_features(
 
 
 def rolling_features_long(
-    readings: DataFrame, hours: list[int] | None = None, chunk_hours: int = 7 * 24
+    readings: DataFrame, hours: list[int] | None = None, chunk_hours: int = 3 * 24
 ) -> DataFrame:
     """The same statistics for one row per (farm, asset, time, sensor, value).
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from vanewatch.domain import RUL_HORIZON_HOURS
 from vanewatch.functions.clock import hours_between
-from vanewatch.operators.joins import BROADCAST_BYTES, interval_lookup, next_start_segments
+from vanewatch.operators.joins import (
+    BROADCAST_BYTES,
+    DAY,
+    fits_in_buckets,
+    interval_lookup,
+    next_start_segments,
+)
 
 
 def next_failure(
@@ -25,14 +31,14 @@ def next_failure(
         "farm", "asset_id", F.col("event_id").alias("next_event_id"),
         F.col("event_start").alias("next_start"),
     )
+    horizon = horizon_hours * 3600
+    reach = events.withColumn("_lo", F.timestamp_seconds(F.unix_seconds("next_start") - horizon))
+    small = fits_in_buckets(reach, DAY, broadcast_bytes, "_lo", "next_start")
     segments = next_start_segments(
-        events, ["farm", "asset_id"], "next_event_id", "next_start", horizon_hours * 3600
+        events, ["farm", "asset_id"], "next_event_id", "next_start", horizon
     )
     return (
-        interval_lookup(
-            rows, segments, ["farm", "asset_id"], "time_stamp", "inner",
-            broadcast_bytes=broadcast_bytes,
-        )
+        interval_lookup(rows, segments, ["farm", "asset_id"], "time_stamp", small, "inner")
         .withColumn("hours_to_failure", hours_between("time_stamp", "next_start"))
         .drop("next_start")
     )
@@ -59,20 +65,3 @@ def labelled_for_rul(features: DataFrame, labels: DataFrame) -> DataFrame:
     target = labels.select("farm", "asset_id", "time_stamp", "hours_to_failure")
     return features.join(target, ["farm", "asset_id", "time_stamp"])
 
-
-def rows_before_events(
-    rows: DataFrame, events: DataFrame, hours: int, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Every (row, event) pair of an asset with the row at most ``hours`` before the event.
-
-    Unlike :func:`next_failure` a row may precede several events, so this returns pairs; the
-    time bucket in the key keeps each join group to one asset's day.
-    """
-    spans = events.where(F.col("event_start").isNotNull()).select(
-        "farm", "asset_id", "event_id", "event_start",
-        F.timestamp_seconds(F.unix_seconds("event_start") - hours * 3600).alias("_lo"),
-        F.timestamp_micros(F.unix_micros("event_start") - F.lit(1)).alias("_hi"),
-    )
-    return interval_lookup(
-        rows, spans, ["farm", "asset_id"], "time_stamp", "inner", broadcast_bytes=broadcast_bytes
-    )

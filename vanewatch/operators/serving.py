@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vanewatch.functions.labels import display_id, strip_avg
-from vanewatch.operators.joins import BROADCAST_BYTES, attach
+from vanewatch.operators.joins import BROADCAST_BYTES, DAY, attach, fits_in_buckets, interval_lookup
 from vanewatch.operators.ranking import newest_per_key, numbered
 
 
@@ -27,7 +27,7 @@ def turbine_ranks(rows: DataFrame) -> DataFrame:
     length = F.length("_text")
     head = F.conv(F.hex(F.substring("_text", 1, 3)), 16, 10).cast("bigint")
     bucket = length * F.lit(1 << 26) + F.coalesce(head, F.lit(0))
-    return numbered(assets, ["farm"], bucket, [length, "_text"], "rank", ["_text"]).drop("_text")
+    return numbered(assets, ["farm"], bucket, [length, "_text"], "rank").drop("_text")
 
 
 def sensor_readings(
@@ -59,11 +59,16 @@ def telemetry(readings: DataFrame, turbine_id: str, first: Column, last: Column)
     )
 
 
-def telemetry_many(readings: DataFrame, requests: DataFrame) -> DataFrame:
+def telemetry_many(
+    readings: DataFrame, requests: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Answer a table of (request_id, turbine_id, from_time, to_time) in one job."""
-    return attach(readings, requests, ["turbine_id"], ["time", "sensor"], "inner").where(
-        F.col("time").between(F.col("from_time"), F.col("to_time"))
-    ).select("request_id", "turbine_id", "time", "sensor", "value", F.coalesce("unit", F.lit("")).alias("unit"))
+    spans = requests.where(F.col("from_time") <= F.col("to_time")).withColumnsRenamed(
+        {"from_time": "_lo", "to_time": "_hi"}
+    )
+    small = fits_in_buckets(spans, DAY, broadcast_bytes)
+    found = interval_lookup(readings, spans, ["turbine_id"], "time", small, "inner")
+    return found.withColumn("unit", F.coalesce("unit", F.lit("")))
 
 
 def wide_by_time(readings: DataFrame, sensors: list[str]) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from vanewatch.functions.clock import to_utc
 from vanewatch.operators.joins import (
     BROADCAST_BYTES,
+    DAY,
     attach,
     first_started_segments,
+    fits_in_buckets,
     interval_lookup,
 )
 
@@ -35,12 +37,11 @@ def tag_events(
     windows = events.select(
         *keys, "event_id", "event_label", "event_description", "event_start", "event_end"
     )
+    small = fits_in_buckets(windows, DAY, broadcast_bytes, "event_start", "event_end")
     segments = first_started_segments(windows, keys, "event_id", "event_start", "event_end").drop(
         "event_start", "event_end"
     )
-    return interval_lookup(
-        rows, segments, keys, "time_stamp", "left", broadcast_bytes=broadcast_bytes
-    )
+    return interval_lookup(rows, segments, keys, "time_stamp", small)
 
 
 def event_file_rows(rows: DataFrame, events: DataFrame) -> DataFrame:

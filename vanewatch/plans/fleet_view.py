@@ -12,6 +12,8 @@ from vanewatch.operators.faults import event_assets, fault_events
 from vanewatch.operators.rolling import rolling_features
 from vanewatch.operators.serving import sensor_readings, turbine_ranks
 from vanewatch.operators.tagging import tag_events
+from vanewatch.session import work_path
+from vanewatch.sources.tables import overwrite
 
 SENSORS = ["sensor_1_avg", "sensor_2_avg", "sensor_3", "sensor_4_avg"]
 FEATURED = ["sensor_1_avg", "sensor_2_avg"]
@@ -109,6 +111,17 @@ def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Written to a table and read back, as gold tables are before others build on them."""
+    path = work_path(spark, label)
+    overwrite(df, path)
+    return spark.read.parquet(path)
+
+
+def stored_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, faults(spark, sf_dir), "faults")
+
+
 def features(spark: SparkSession, sf_dir: str, sensors: list[str] | None = None) -> DataFrame:
     return rolling_features(tagged(spark, sf_dir), sensors or FEATURED)
 
@@ -123,7 +136,8 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensor_readings(scada(spark, sf_dir), ranks(spark, sf_dir), SENSORS)
+    ids = stored(spark, ranks(spark, sf_dir), "ids")
+    return sensor_readings(scada(spark, sf_dir), ids, SENSORS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def stratified_split(spark, sf_dir):
       LEFT JOIN (SELECT DISTINCT farm, event_id, category FROM faults) c ON t.farm = c.farm AND t.event_id = c.event_id
       GROUP BY ALL)""", "tagged", "faults"))
 def class_inventory(spark, sf_dir):
-    labelled = faults.labelled_features(fv.tagged(spark, sf_dir), fv.faults(spark, sf_dir))
+    labelled = faults.labelled_features(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
     return learning.class_inventory(labelled)
 
 
@@ -204,7 +204,7 @@ def stored_features(spark, sf_dir):
 def fault_classifier(spark, sf_dir):
     """Held-out rows with their label, the predicted class and the fault probability."""
     f = stored_features(spark, sf_dir)
-    labelled = faults.labelled_features(f, fv.faults(spark, sf_dir))
+    labelled = faults.labelled_features(f, fv.stored_faults(spark, sf_dir))
     model, scored = learning.fit_classifier(labelled, sensors.feature_columns(f), training.KEYS, ROUNDS, depth=DEPTH)
     return scored.select(*training.KEYS, "label", "prediction", model.fault_probability().alias("fault_probability"))
 
@@ -213,7 +213,7 @@ def fault_classifier(spark, sf_dir):
 def rul_quantile(spark, sf_dir):
     """Held-out rows with their hours to failure and the three predicted quantiles."""
     f = stored_features(spark, sf_dir)
-    labels = rul.rul_labels(fv.tagged(spark, sf_dir), fv.faults(spark, sf_dir))
+    labels = rul.rul_labels(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
     labelled = rul.labelled_for_rul(f, labels)
     _, scored = learning.fit_rul(labelled, sensors.feature_columns(f), training.KEYS, QUANTILES, ROUNDS, DEPTH)
     return scored.select(*training.KEYS, "hours_to_failure", "rul_p10", "rul_p50", "rul_p90")
@@ -221,7 +221,7 @@ def rul_quantile(spark, sf_dir):
 
 def trained(spark, sf_dir):
     f = stored_features(spark, sf_dir)
-    fault_table = fv.faults(spark, sf_dir)
+    fault_table = fv.stored_faults(spark, sf_dir)
     labels = rul.rul_labels(fv.tagged(spark, sf_dir), fault_table)
     return f, training.train_component(f, fault_table, labels, "gearbox", MIN_DAYS, ROUNDS, DEPTH)
 

@@ -161,22 +161,18 @@ RUL_SQL = "SELECT farm, asset_id, time_stamp, event_id, round(hours_to_failure,
 
 @query("nearest_next_event", sql(RUL_SQL, "rul"))
 def nearest_next_event(spark, sf_dir):
-    out = rul.rul_labels(fv.tagged(spark, sf_dir), fv.faults(spark, sf_dir))
+    out = rul.rul_labels(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
     return rounded(out, ["hours_to_failure"])
 
 
 @query("pre_event_candidates", sql("""
-    SELECT e.event_id, count(*) AS n_rows, min(s.time_stamp) AS first_time, max(s.time_stamp) AS last_time
-    FROM event_info e JOIN scada s ON e.farm = s.farm AND e.asset_id = s.asset_id AND s.time_stamp < e.event_start
-      AND CAST(floor(epoch(e.event_start)) AS BIGINT) - CAST(floor(epoch(s.time_stamp)) AS BIGINT) <= 72 * 3600
-    GROUP BY e.event_id""", "event_info"))
+    SELECT s.id, s.farm, s.asset_id, s.time_stamp FROM scada s WHERE EXISTS (SELECT 1 FROM event_info e
+      WHERE e.farm = s.farm AND e.asset_id = s.asset_id AND s.time_stamp < e.event_start
+      AND CAST(floor(epoch(e.event_start)) AS BIGINT) - CAST(floor(epoch(s.time_stamp)) AS BIGINT) <= 72 * 3600)""", "event_info"))
 def pre_event_candidates(spark, sf_dir):
-    """Rows in the three days before each event, one group per event."""
-    rows = fv.scada(spark, sf_dir).select("farm", "asset_id", "time_stamp")
-    return rul.rows_before_events(rows, fv.event_info(spark, sf_dir), 72).groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("time_stamp").alias("first_time"),
-        F.max("time_stamp").alias("last_time"),
-    )
+    """Rows in the three days before any event of their asset, each once."""
+    rows = fv.scada(spark, sf_dir).select("id", "farm", "asset_id", "time_stamp")
+    return rul.next_failure(rows, fv.event_info(spark, sf_dir), 72).select("id", "farm", "asset_id", "time_stamp")
 
 
 @query("nearest_event", sql("""
@@ -198,7 +194,7 @@ def nearest_event(spark, sf_dir):
     WHERE t.event_id IS NULL GROUP BY t.id""", "tagged", "faults"))
 def rul_horizon(spark, sf_dir):
     quiet = fv.tagged(spark, sf_dir).where("event_id IS NULL").select("id", "farm", "asset_id", "time_stamp")
-    out = rul.next_failure(quiet, fv.faults(spark, sf_dir), 48)
+    out = rul.next_failure(quiet, fv.stored_faults(spark, sf_dir), 48)
     return rounded(out.select("id", "hours_to_failure"), ["hours_to_failure"])
 
 
@@ -217,7 +213,7 @@ def hours_to_failure(spark, sf_dir):
 def label_join(spark, sf_dir):
     keep = ["farm", "asset_id", "time_stamp", "event_id", "id"]
     f = rolling.rolling_features(fv.tagged(spark, sf_dir), fv.FEATURED, keep)
-    out = faults.labelled_features(f, fv.faults(spark, sf_dir))
+    out = faults.labelled_features(f, fv.stored_faults(spark, sf_dir))
     return rounded(out.select("id", "label", "sensor_1_avg_avg_24h"), ["sensor_1_avg_avg_24h"])
 
 
@@ -227,7 +223,7 @@ def label_join(spark, sf_dir):
     FROM features f JOIN rul r ON f.farm = r.farm AND f.asset_id = r.asset_id AND f.time_stamp = r.time_stamp""",
     "features", "rul"))
 def rul_join(spark, sf_dir):
-    labels_ = rul.rul_labels(fv.tagged(spark, sf_dir), fv.faults(spark, sf_dir))
+    labels_ = rul.rul_labels(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
     out = rul.labelled_for_rul(fv.features(spark, sf_dir), labels_).select(
         "farm", "asset_id", "time_stamp", "hours_to_failure", "sensor_1_avg_avg_24h"
     )
@@ -270,7 +266,7 @@ def stride_index(spark, sf_dir):
 
     rows = fv.scada(spark, sf_dir).select("id", "_source_file")
     bucket = F.floor(F.col("id") / F.lit(100_000))
-    out = numbered(rows, ["_source_file"], bucket, ["id"], "_row", ["id"])
+    out = numbered(rows, ["_source_file"], bucket, ["id"], "_row")
     return out.select("id", "_source_file", (F.col("_row") - 1).alias("row_index"))
 
 
