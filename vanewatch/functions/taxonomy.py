@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,10 +14,12 @@ Taxonomy = dict[str, list[str]]
 
 def mentions(text: Column, words: list[str], whole_words: bool = False) -> Column:
     """Does the text hold any of the words, ignoring case; NULL text holds none."""
-    alternatives = "|".join(re.escape(w) for w in words)
+    lowered = F.lower(text)
     if whole_words:
-        alternatives = rf"\b(?:{alternatives})\b"
-    return F.coalesce(F.lower(text).rlike(alternatives), F.lit(False))
+        found = lowered.rlike(rf"\b(?:{'|'.join(re.escape(w) for w in words)})\b")
+    else:
+        found = reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
+    return F.coalesce(found, F.lit(False))
 
 
 def matches(text: Column, taxonomy: Taxonomy, whole_words: bool = False) -> Column:

@@ -93,9 +93,10 @@ def illegal_status(raw: DataFrame) -> DataFrame:
 
 def _parses(column: str, kind: str) -> Column:
     text = F.col(column).cast("string")
+    number = text.try_cast("double").isNotNull()
     if kind == "datetime":
-        return F.try_to_timestamp(text).isNotNull()
-    return text.try_cast(kind).isNotNull()
+        return F.when(number, False).otherwise(F.try_to_timestamp(text).isNotNull())
+    return number if kind == "double" else text.try_cast(kind).isNotNull()
 
 
 def observed_types(raw: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
