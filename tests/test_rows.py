@@ -75,7 +75,7 @@ def test_strict_tagging_looks_at_the_asset(spark):
     events = events_of(spark, {7: (at(0), at(5))}, asset=2)
     rows = rows_at(spark, [at(1)])
     assert tagging.tag_events(rows, events).first().event_id is None
-    assert tagging.tag_events(rows, events, per_asset=False).first().event_id == "7"
+    assert tagging.tag_events(rows, events, by=["farm"]).first().event_id == "7"
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))

@@ -20,14 +20,14 @@ def status_lead_time(
 
     Three map-side combined aggregates instead of a sorted window: the first downtime, the
     last other status before it, the first row after that. Groups where nothing reduced runs
-    straight into the downtime have no row.
+    straight into the downtime have no row. Clocks are unique inside a group.
     """
-    at = F.struct("time_stamp", "id")
-    narrow = rows.select(*group, "time_stamp", "id", "status_type_id")
+    narrow = rows.select(*group, "time_stamp", "status_type_id")
+    clock = F.col("time_stamp")
     down = (
         narrow.where(F.col("status_type_id") == DOWNTIME_STATUS)
         .groupBy(*group)
-        .agg(F.min(at).alias("_down"))
+        .agg(F.min(clock).alias("down_time"))
     )
     # One row per group; the later table has no more rows than this one.
     small = broadcast_bytes > 0 and measured_bytes(down) <= broadcast_bytes // 2
@@ -35,18 +35,19 @@ def status_lead_time(
     def beside(dimension: DataFrame) -> DataFrame:
         if small:
             return narrow.join(F.broadcast(dimension), group)
-        return attach(narrow, dimension, group, ["id"], "inner", broadcast_bytes=0)
+        return attach(narrow, dimension, group, ["time_stamp"], "inner", broadcast_bytes=0)
 
-    leading = beside(down).where(at < F.col("_down"))
+    leading = beside(down).where(clock < F.col("down_time"))
     reduced = F.coalesce(F.col("status_type_id").isin(REDUCED_STATUS), F.lit(False))
     marks = leading.groupBy(*group).agg(
-        F.max(F.when(~reduced, at)).alias("_barrier"), F.min("_down").alias("_down")
+        F.max(F.when(~reduced, clock)).alias("_barrier"), F.min("down_time").alias("down_time")
     )
+    after = F.col("_barrier").isNull() | (clock > F.col("_barrier"))
     onset = (
         beside(marks)
-        .where((at < F.col("_down")) & (F.col("_barrier").isNull() | (at > F.col("_barrier"))))
+        .where((clock < F.col("down_time")) & after)
         .groupBy(*group)
-        .agg(F.min("time_stamp").alias("onset_time"), F.min("_down.time_stamp").alias("down_time"))
+        .agg(F.min(clock).alias("onset_time"), F.min("down_time").alias("down_time"))
     )
     hours = (F.unix_micros("down_time") - F.unix_micros("onset_time")) / F.lit(3600.0 * 1e6)
     return onset.withColumn("lead_hours", hours).where("lead_hours > 0")

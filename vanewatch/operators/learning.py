@@ -90,10 +90,18 @@ def exact_medians(df: DataFrame, columns: list[str], margin: float = 2e-5) -> di
 
 
 def imputed(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
-    """Fill NULLs with the medians; a column without any value stays NULL."""
-    return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items() if m is not None}
-    )
+    """Fill NULL and NaN with the medians; a column without any value stays as it is."""
+
+    def fill(c: str, m: float) -> Column:
+        value = F.col(c).cast("double")
+        return F.when(value.isNull() | F.isnan(value), F.lit(m)).otherwise(value)
+
+    return df.withColumns({c: fill(c, m) for c, m in medians.items() if m is not None})
+
+
+def usable_medians(train: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Medians of the columns a model can use: those with any value in the training part."""
+    return {c: m for c, m in exact_medians(train, columns).items() if m is not None}
 
 
 def class_inventory(labelled: DataFrame) -> DataFrame:
@@ -205,6 +213,8 @@ def fit_classifier(
 ) -> tuple[FaultClassifier, DataFrame] | None:
     """Fit on the training part, stop early on the test part; None with fewer than two classes.
 
+    A column without any value in the training part is left out.
+
     Also returns the scored test part. Medians come from the training part only and are kept
     with the model, so scoring fills gaps the same way.
     """
@@ -212,7 +222,10 @@ def fit_classifier(
     if len(classes) < 2:
         return None
     flagged = split_flag(labelled, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    medians = exact_medians(flagged.where("NOT is_test"), columns)
+    medians = usable_medians(flagged.where("NOT is_test"), columns)
+    columns = list(medians)
+    if not columns:
+        return None
     data = assembled(imputed(flagged, medians), columns).select("features", "label", "is_test")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     models = []
@@ -327,7 +340,10 @@ def fit_rul(
     flagged = split_flag(whole, keys, "_all").drop("_all").persist(StorageLevel.MEMORY_AND_DISK)
     if flagged.count() < MIN_QUANTILE_ROWS:
         return None
-    medians = exact_medians(flagged.where("NOT is_test"), columns)
+    medians = usable_medians(flagged.where("NOT is_test"), columns)
+    columns = list(medians)
+    if not columns:
+        return None
     data = assembled(imputed(flagged, medians), columns)
     train, test = data.where("NOT is_test"), data.where("is_test")
     models = {}

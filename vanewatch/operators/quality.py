@@ -82,12 +82,10 @@ def split_distribution(raw: DataFrame) -> DataFrame:
 
 
 def illegal_status(raw: DataFrame) -> DataFrame:
-    """Distinct status values outside the domain per file."""
+    """Each status value outside the domain with its number of rows per file, a row for each."""
     bad = ~F.coalesce(F.col("status_type_id").isin(VALID_STATUS), F.lit(False))
-    return (
-        raw.where(bad)
-        .groupBy("farm", FILE)
-        .agg(F.array_sort(F.collect_set("status_type_id")).alias("values"))
+    return raw.where(bad).groupBy("farm", FILE, "status_type_id").agg(
+        F.count(F.lit(1)).alias("n_rows")
     )
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vanewatch.operators.joins import attach
-
 
 def newest_per_key(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """One row per key. Spark limits the groups before the shuffle, so copies stay local."""
@@ -61,7 +59,8 @@ def first_share(
 
     The last hash inside the share is looked up per group: counts per hash prefix point to the
     prefix holding it, and only rows with that prefix are sorted. The rows themselves are
-    compared with that one value and are never shuffled.
+    compared with that one value and are never shuffled. Groups are classes of a training set;
+    the two broadcast tables have one row for each.
     """
     digest = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
     hashed = df.withColumn("_md5", digest).withColumn(
@@ -86,7 +85,7 @@ def first_share(
         .select(group, F.col("_md5").alias("_last"))
     )
     return (
-        attach(hashed, last, [group], ["_md5"])
+        hashed.join(F.broadcast(last), group, "left")
         .withColumn(name, F.coalesce(F.col("_md5") <= F.col("_last"), F.lit(False)))
         .drop("_md5", "_prefix", "_last")
     )

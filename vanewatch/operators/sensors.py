@@ -77,7 +77,7 @@ def representative_sensors(
 
 
 def feature_columns(df: DataFrame, also_not: list[str] | None = None) -> list[str]:
-    skip = {*META_COLUMNS, "category", "label", "hours_to_failure", *(also_not or [])}
+    skip = {*META_COLUMNS, "day", "category", "label", "hours_to_failure", *(also_not or [])}
     return [c for c in df.columns if c not in skip]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,15 @@ def parsed_events(event_info: DataFrame, source_tz: str = "UTC") -> DataFrame:
 def tag_events(
     rows: DataFrame,
     events: DataFrame,
-    per_asset: bool = True,
+    by: Sequence[str] = ("farm", "asset_id"),
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left-tag rows with the labelled window they fall in, both window ends included.
 
-    A row inside several windows gets the one that started first, then the lowest id.
-    ``per_asset=False`` matches on the farm alone, for event tables without an asset column.
+    A row inside several windows gets the one that started first, then the lowest id. Event
+    tables without an asset column are matched by farm, or by farm and file number.
     """
-    keys = ["farm", "asset_id"] if per_asset else ["farm"]
+    keys = list(by)
     windows = events.select(
         *keys, "event_id", "event_label", "event_description", "event_start", "event_end"
     )

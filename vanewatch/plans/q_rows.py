@@ -133,7 +133,7 @@ def event_tag(spark, sf_dir):
 def event_tag_farm(spark, sf_dir):
     """Event tables without an asset column: any window of the farm."""
     rows = fv.scada(spark, sf_dir).select("id", "farm", "asset_id", "time_stamp")
-    out = tagging.tag_events(rows, fv.event_info(spark, sf_dir), per_asset=False)
+    out = tagging.tag_events(rows, fv.event_info(spark, sf_dir), by=["farm"])
     return out.select("id", "farm", "event_id", "event_label")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from vanewatch.operators.cleaning import clean
 from vanewatch.operators.tagging import tag_events
-from vanewatch.sources.files import TURBINE_FILES, with_lineage
+from vanewatch.sources.files import TURBINE_FILES, file_event_id, with_lineage
 from vanewatch.sources.landing import routed
 from vanewatch.sources.tables import exists, upsert
 
@@ -129,7 +130,8 @@ def _ddl(schema: T.StructType) -> str:
 
 def upsert_silver(
     spark: SparkSession, raw_table: str, raw_schema: T.StructType, events: DataFrame,
-    silver: str, checkpoint: str, source_tz: str = "UTC", max_files: int = MAX_FILES,
+    silver: str, checkpoint: str, source_tz: str = "UTC", by: Sequence[str] = ("farm", "asset_id"),
+    max_files: int = MAX_FILES,
 ) -> None:
     """Clean, tag and upsert whatever is new; late and repeated files never duplicate rows."""
     stream = (
@@ -137,7 +139,10 @@ def upsert_silver(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        tagged = tag_events(clean(batch, source_tz), events)
+        rows = clean(batch, source_tz)
+        if "file_event_id" in by:
+            rows = rows.withColumn("file_event_id", file_event_id())
+        tagged = tag_events(rows, events, by)
         upsert(
             tagged.withColumn("day", F.to_date("time_stamp")),
             silver,
