@@ -251,25 +251,25 @@ def risk_flag(spark, sf_dir):
 def forecast_rows(spark, sf_dir):
     """Per asset a three-point series made of its aggregates, with quantile spreads."""
     agg = fv.scada(spark, sf_dir).groupBy("farm", "asset_id").agg(
-        F.min("sensor_1_avg").alias("lo"), F.round(F.avg("sensor_1_avg"), 4).alias("mid"), F.max("sensor_1_avg").alias("hi"),
+        F.min("sensor_1_avg").alias("lo"), F.avg("sensor_1_avg").alias("mid"), F.max("sensor_1_avg").alias("hi"),
         F.max("time_stamp").alias("as_of"),
     )
     return agg.withColumn("values", F.array("lo", "mid", "hi"))
 
 
 @query("rul_band", sql("""
-    SELECT farm, asset_id, i, timestamp, round(value, 4) AS p50,
+    SELECT farm, asset_id, i, timestamp, round(value, 6) AS p50,
       round(greatest(0, value - (mid - lo) * (i / 3.0::DOUBLE) * 0.4), 1) AS low,
       round(value + (hi - mid) * (i / 3.0::DOUBLE) * 0.4, 1) AS high
     FROM (SELECT a.*, i, CASE i WHEN 1 THEN lo WHEN 2 THEN mid ELSE hi END AS value, as_of + to_days(i) AS timestamp
-      FROM (SELECT farm, asset_id, min(sensor_1_avg) AS lo, round(avg(sensor_1_avg), 4) AS mid, max(sensor_1_avg) AS hi, max(time_stamp) AS as_of
+      FROM (SELECT farm, asset_id, min(sensor_1_avg) AS lo, avg(sensor_1_avg) AS mid, max(sensor_1_avg) AS hi, max(time_stamp) AS as_of
         FROM scada GROUP BY ALL) a CROSS JOIN (VALUES (1), (2), (3)) h(i))""", "scada"))
 def rul_band(spark, sf_dir):
     f = forecast_rows(spark, sf_dir)
     f = f.withColumn("series", bands.forecast_points("values", F.col("as_of")))
     band = f.withColumn("band", bands.rul_band("series", "lo", "mid", "hi"))
     return band.select("farm", "asset_id", F.posexplode("band").alias("pos", "b")).select(
-        "farm", "asset_id", (F.col("pos") + 1).alias("i"), "b.timestamp", F.round("b.p50", 4).alias("p50"), "b.low", "b.high"
+        "farm", "asset_id", (F.col("pos") + 1).alias("i"), "b.timestamp", F.round("b.p50", 6).alias("p50"), "b.low", "b.high"
     )
 
 
