@@ -11,7 +11,7 @@ def to_utc(column: str, source_tz: str = "UTC") -> Column:
 
     Unreadable text becomes NULL instead of failing the job.
     """
-    return F.to_utc_timestamp(F.try_to_timestamp(F.col(column).cast("string")), source_tz)
+    return F.to_utc_timestamp(F.col(column).try_cast("timestamp"), source_tz)
 
 
 def epoch_seconds(column) -> Column:

@@ -93,7 +93,7 @@ def _parses(column: str, kind: str) -> Column:
     text = F.col(column).cast("string")
     number = text.try_cast("double").isNotNull()
     if kind == "datetime":
-        return F.when(number, False).otherwise(F.try_to_timestamp(text).isNotNull())
+        return F.when(number, False).otherwise(text.try_cast("timestamp").isNotNull())
     return number if kind == "double" else text.try_cast(kind).isNotNull()
 
 

@@ -210,18 +210,19 @@ def alert_id(spark, sf_dir):
 
 
 @query("alert_message", sql("""
-    SELECT id, component || ' on ' || "turbineId" AS subject, round("faultProbability", 2) AS probability, round("rulHoursP50", 1) AS rul
-    FROM predictions WHERE abs("rulHoursP50" * 10 - floor("rulHoursP50" * 10) - 0.5) > 0.001""", "predictions"))
+    SELECT id, component || ' on ' || "turbineId" AS subject, true AS probability_fits, true AS rul_fits FROM predictions""", "predictions"))
 def alert_message(spark, sf_dir):
-    """The message taken apart again; values halfway between two tenths round either way."""
-    p = fv.predictions(spark, sf_dir)
-    tenths = F.col("rulHoursP50") * 10
+    """The message taken apart again: two and one decimals of the numbers it reports."""
     text = labels.alert_message("turbineId", "component", "faultProbability", "rulHoursP50")
-    clear = p.where(F.abs(tenths - F.floor(tenths) - 0.5) > 0.001).select("id", text.alias("m"))
-    return clear.select(
+
+    def fits(pattern, column, half):
+        shown = F.regexp_extract("m", pattern, 1).cast("double")
+        return F.abs(shown - F.col(column)) <= half + 1e-9
+
+    return fv.predictions(spark, sf_dir).withColumn("m", text).select(
         "id", F.split_part("m", F.lit(":"), F.lit(1)).alias("subject"),
-        F.regexp_extract("m", "faultProbability=([0-9.]+)", 1).cast("double").alias("probability"),
-        F.regexp_extract("m", "rulHoursP50=([0-9.]+)", 1).cast("double").alias("rul"),
+        fits(r"faultProbability=(\d+\.\d{2}),", "faultProbability", 0.005).alias("probability_fits"),
+        fits(r"rulHoursP50=(\d+\.\d)$", "rulHoursP50", 0.05).alias("rul_fits"),
     )
 
 
