@@ -120,6 +120,23 @@ def test_classifier_learns_and_fills_gaps_when_scoring(spark):
     assert total < 1e-9
 
 
+def test_models_survive_saving(spark, folder):
+    df = training_rows(spark, 200)
+    columns = ["x_avg_24h", "noise"]
+    model, _ = learning.fit_classifier(df, columns, training.KEYS, rounds=2, depth=2)
+    model.save(spark, f"{folder}/c")
+    again = learning.FaultClassifier.load(spark, f"{folder}/c")
+    pick = [*training.KEYS, "prediction", "class_probability"]
+    assert again.transform(df).select(pick).exceptAll(model.transform(df).select(pick)).isEmpty()
+
+    models, _ = learning.fit_rul(df, columns, training.KEYS, {"p50": 0.5}, rounds=3, depth=2)
+    q = models["p50"]
+    q.save(spark, f"{folder}/q")
+    back = learning.QuantileModel.load(spark, f"{folder}/q")
+    rows = learning.assembled(learning.imputed(df, q.medians), q.columns)
+    assert back.add_to(rows, "p").select("p").exceptAll(q.add_to(rows, "p").select("p")).isEmpty()
+
+
 def test_single_class_is_not_trained(spark):
     assert learning.fit_classifier(training_rows(spark).withColumn("label", F.lit("healthy")), ["x_avg_24h"], training.KEYS) is None
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vanewatch.domain import MIN_QUANTILE_ROWS
@@ -197,6 +198,18 @@ class FaultClassifier:
             "prediction", F.element_at(names, best)
         ).select(*[c for c in keep if c != "features"], "class_probability", "prediction")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One folder per class and a description; an older version there is replaced."""
+        for i, model in enumerate(self.models):
+            model.write().overwrite().save(f"{path}/class-{i}")
+        store_json(spark, {"classes": self.classes, "medians": self.medians, "columns": self.columns}, f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FaultClassifier:
+        about = load_json(spark, f"{path}/about")
+        models = [GBTClassificationModel.load(f"{path}/class-{i}") for i in range(len(about["classes"]))]
+        return cls(about["classes"], models, about["medians"], about["columns"])
+
     def fault_probability(self) -> Column:
         """Probability of anything but healthy, to four digits."""
         healthy = self.classes.index("healthy")
@@ -264,6 +277,29 @@ class QuantileModel:
         return out
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree-{i}")
+        about = {"alpha": self.alpha, "base": self.base, "columns": self.columns, "medians": self.medians,
+                 "leaves": [list(map(list, values.items())) for values in self.leaves]}
+        store_json(spark, about, f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> QuantileModel:
+        about = load_json(spark, f"{path}/about")
+        leaves = [dict(map(tuple, pairs)) for pairs in about.pop("leaves")]
+        trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(len(leaves))]
+        return cls(**about, trees=trees, leaves=leaves)
+
+
+def store_json(spark: SparkSession, content: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+
+
 def leaf_value(values: dict[float, float]) -> Column:
     pairs = [F.lit(float(x)) for item in values.items() for x in item]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_leaf")), F.lit(0.0))
