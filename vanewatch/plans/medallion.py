@@ -167,25 +167,34 @@ def serving_readings(fleet: Fleet) -> DataFrame | None:
     return fleet.read("sensor_readings")
 
 
-def models_and_predictions(
-    fleet: Fleet, as_of: Column, rounds: int = learning.ROUNDS, depth: int = learning.MAX_DEPTH,
+def train(
+    fleet: Fleet, rounds: int = learning.ROUNDS, depth: int = learning.MAX_DEPTH,
     min_days: int = MIN_TREND_DAYS,
 ) -> None:
-    """Train each component that has features, keep the metrics, and score every turbine.
-
-    A component that lacks one of its models gets metrics but no predictions.
-    """
+    """Train and save the models of each component that has features, and keep the metrics."""
     events = fleet.read("fault_events", schema=FAULT_EVENTS)
     labels = fleet.read("rul_labels", schema=RUL_LABELS)
+    for component in fleet.components:
+        table = fleet.read("features", component)
+        if table is not None:
+            models = training.train_component(table, events, labels, component, min_days, rounds, depth)
+            models.save(fleet.spark, fleet.path("models", component))
+            tables.overwrite(models.report, fleet.path("training_report", f"component={component}"))
+
+
+def predict(fleet: Fleet, as_of: Column) -> None:
+    """Score every turbine's latest features with the saved models.
+
+    A component that lacks one of its models gets no predictions.
+    """
     ids = fleet.read("turbine_ids")
     for component in fleet.components:
         table = fleet.read("features", component)
-        if table is None:
-            continue
-        models = training.train_component(table, events, labels, component, min_days, rounds, depth)
-        tables.overwrite(models.report, fleet.path("training_report", f"component={component}"))
-        scored = training.score(table, models, component, ids, as_of)
-        tables.overwrite(scored.drop("component"), fleet.path("predictions", f"component={component}"))
+        saved = fleet.path("models", component)
+        if table is not None and tables.exists(fleet.spark, saved):
+            models = training.ComponentModels.load(fleet.spark, saved)
+            scored = training.score(table, models, component, ids, as_of)
+            tables.overwrite(scored.drop("component"), fleet.path("predictions", f"component={component}"))
 
 
 def alerts(fleet: Fleet, as_of: Column, config: DataFrame | None = None) -> None:
@@ -209,5 +218,6 @@ def run(fleet: Fleet, as_of: Column, **training_options: int) -> None:
     fault_events(fleet)
     rul_labels(fleet)
     serving_readings(fleet)
-    models_and_predictions(fleet, as_of, **training_options)
+    train(fleet, **training_options)
+    predict(fleet, as_of)
     alerts(fleet, as_of)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanewatch.domain import MIN_TREND_DAYS, QUANTILES
 from vanewatch.operators import faults, health, learning, rul, scoring, sensors
+from vanewatch.sources import tables
 
 KEYS = ["farm", "asset_id", "time_stamp"]
 
@@ -20,6 +21,25 @@ class ComponentModels:
     trends: DataFrame
     report: DataFrame | None
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.classifier:
+            self.classifier.save(spark, f"{path}/classifier")
+        for name, model in (self.quantiles or {}).items():
+            model.save(spark, f"{path}/{name}")
+        tables.overwrite(self.trends, f"{path}/trends")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ComponentModels:
+        """What was saved; a model that was never trained is missing again."""
+        def has(name: str) -> bool:
+            return tables.exists(spark, f"{path}/{name}/about")
+
+        classifier = learning.FaultClassifier.load(spark, f"{path}/classifier") if has("classifier") else None
+        quantiles = None
+        if all(has(n) for n in QUANTILES):
+            quantiles = {n: learning.QuantileModel.load(spark, f"{path}/{n}") for n in QUANTILES}
+        return cls(classifier, quantiles, spark.read.parquet(f"{path}/trends"), None)
+
 
 def train_component(
     features: DataFrame,
