@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from vanewatch.llm import (  # noqa: F401
-    q_mixing,
-    q_lines,
     q_chat,
+    q_html,
+    q_lines,
+    q_mixing,
+    q_quality,
+    q_repeats,
 )
 from vanewatch.llm.registry import QUERIES, SQL
 
