@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from vanewatch.llm import (  # noqa: F401
+    q_benchmark,
     q_chat,
     q_html,
+    q_language,
     q_lines,
     q_mixing,
     q_quality,
     q_repeats,
+    q_signatures,
 )
 from vanewatch.llm.registry import QUERIES, SQL
 
