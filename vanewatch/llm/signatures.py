@@ -8,11 +8,13 @@ texts hold them, two such texts share one of their first ``COORDINATES - MATCHES
 A pair that nobody else holds counts toward that prefix without a posting, so a text without near
 copies posts nothing, however common some of its phrases are.
 
-Lists are merged by leaders: members meet the first member, collisions are counted over whole
-signatures, and what stays above the threshold is confirmed on the full shingle sets. Confirmed
-links form components. A list whose members are all in one component is skipped from then on; in
-the others the next members lead, twice as many each round, and only across components. So every
-pair that could join two components is compared, and no group of copies is paired off in full.
+Lists are merged by leaders, the most central members first: those whose coordinates most other
+texts hold. Members meet their list's leader, collisions are counted over whole signatures, and
+what stays above the threshold is confirmed on the full shingle sets. Confirmed links form
+components. A list whose members are all in one component is skipped from then on. In the others
+the next members lead, across components only: all of them in lists of up to ``SHORT_LIST``, the
+``LEADERS`` most central ones in longer lists. Two texts of a long list that are closer to each
+other than to its centre share pairs that the centre lacks, and meet in the short lists of those.
 
 Defined results: a null text and a text without words have an empty set and link with nothing; a
 text shorter than a shingle is one shingle; rows with a null id are linked with nothing and
@@ -39,6 +41,8 @@ COORDINATES = 48
 #: Of 48 coordinates at similarity 0.85, 41 agree on average and fewer than 28 once in a million.
 MATCHES = 28
 PERCENT = 85
+SHORT_LIST = 32
+LEADERS = 8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -159,7 +163,10 @@ def _confirmed(percent: int):
 
 
 def _postings(reps: DataFrame, matches: int) -> DataFrame:
-    """(pair, rep): every text under the shared pairs of its prefix, rarest first."""
+    """(pair, rep, apart): every text under the shared pairs of its prefix, rarest first.
+
+    ``apart`` is the lower, the more texts hold the text's pairs.
+    """
     every = reps.mapInArrow(_coordinates, "pair long, rep long")
     shared = every.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed(
         "pair", "held"
@@ -171,7 +178,10 @@ def _postings(reps: DataFrame, matches: int) -> DataFrame:
         .where(F.size("own") >= matches)
     )
     prefix = F.slice("own", F.lit(1), F.size("own") - F.lit(matches - 1))
-    return ranked.select("rep", F.explode(prefix).alias("p")).select(F.col("p.pair").alias("pair"), "rep")
+    apart = F.aggregate("own", F.lit(0).cast("long"), lambda total, p: total - p["n"])
+    return ranked.select("rep", apart.alias("apart"), F.explode(prefix).alias("p")).select(
+        F.col("p.pair").alias("pair"), "rep", "apart"
+    )
 
 
 def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
@@ -198,7 +208,7 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
     ).select("doc_id", "n_shingles", "rep")
 
     signs = reps.groupBy("rep").agg(F.min("signature").alias("sign"))
-    lists = stored(_postings(reps.select("rep", "signature"), matches).distinct(), "postings")
+    lists = stored(_postings(reps.select("rep", "signature"), matches), "postings")
     posted = broadcast_within(lists.select(F.col("rep").alias("r")).distinct())
     texts = stored(
         narrow.join(posted, F.col("doc_id") == F.col("r"))
@@ -219,7 +229,8 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
             .mapInArrow(_confirmed(percent), "a long, b long")
         )
 
-    first = lists.groupBy("pair").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n"))
+    central = F.min_by("rep", F.struct("apart", "rep"))
+    first = lists.groupBy("pair").agg(central.alias("b"), F.count(F.lit(1)).alias("n"))
     pairs = (
         lists.withColumnRenamed("rep", "a")
         .join(first.where("n > 1").withColumnRenamed("pair", "p"), F.col("pair") == F.col("p"))
@@ -229,27 +240,25 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
     )
     links = stored(confirm(pairs), "near-links")
     found = components(links)
-    leaders = 1
-    while True:
+    by_rank = Window.partitionBy("pair").orderBy("apart", "rep")
+    for led, upto, longest in ((1, LEADERS, None), (LEADERS, SHORT_LIST, SHORT_LIST)):
         named = lists.join(found, F.col("rep") == F.col("node"), "left").select(
-            "pair", "rep", F.coalesce("component", "rep").alias("component")
+            "pair", "rep", "apart", F.coalesce("component", "rep").alias("component")
         )
-        mixed_lists = (
+        still_open = (
             named.groupBy("pair")
             .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where((F.col("n") > leaders + 1) & (F.col("lo") < F.col("hi")))
-            .select(F.col("pair").alias("open"))
+            .where((F.col("n") > led + 1) & (F.col("lo") < F.col("hi")))
         )
-        by_rank = Window.partitionBy("pair").orderBy("rep")
+        if longest:
+            still_open = still_open.where(F.col("n") <= longest)
         left = stored(
-            named.join(mixed_lists, F.col("pair") == F.col("open"))
+            named.join(still_open.select(F.col("pair").alias("open")), F.col("pair") == F.col("open"))
             .withColumn("at", F.row_number().over(by_rank))
             .select("pair", "rep", "component", "at"),
             "open-lists",
         )
-        if left.isEmpty():
-            return classes, found
-        lead = left.where(F.col("at").between(leaders + 1, 3 * leaders)).select(
+        lead = left.where(F.col("at").between(led + 1, upto)).select(
             F.col("pair").alias("p"), F.col("rep").alias("b"), F.col("component").alias("c"),
             F.col("at").alias("lead_at"),
         )
@@ -263,7 +272,7 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             found = components(links)
-        leaders *= 3
+    return classes, found
 
 
 def near_groups(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT) -> DataFrame:
