@@ -54,7 +54,10 @@ def shared_lines(
     bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """Hashes of boilerplate lines and the first document of each: (_hash, _first)."""
-    lines = _lines(docs, site, min_words)
+    return _shared(stored(_lines(docs, site, min_words), "lines"), min_sites, margin, bits)
+
+
+def _shared(lines: DataFrame, min_sites: int, margin: float, bits: int) -> DataFrame:
     spread = stored(
         lines.groupBy("_hash")
         .agg(
@@ -82,13 +85,18 @@ def shared_lines(
 
 
 def drop_shared_lines(
-    docs: DataFrame, site: str = "source", min_words: int = MIN_WORDS, **options
+    docs: DataFrame,
+    site: str = "source",
+    min_sites: int = MIN_SITES,
+    min_words: int = MIN_WORDS,
+    margin: float = MARGIN,
+    bits: int = SKETCH_BITS,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and (n_lines, n_removed)."""
-    shared = stored(shared_lines(docs, site, min_words=min_words, **options), "shared-lines")
+    lines = stored(_lines(docs, site, min_words), "lines")
+    shared = stored(_shared(lines, min_sites, margin, bits), "shared-lines")
     removed = (
-        _lines(docs, site, min_words)
-        .join(broadcast_within(shared), "_hash")
+        lines.join(broadcast_within(shared), "_hash")
         .where(~F.col("doc_id").eqNullSafe(F.col("_first")))
         .groupBy("_key")
         .agg(F.collect_set("_at").alias("_gone"))
