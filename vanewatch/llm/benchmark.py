@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanewatch.llm.common import stored
+from vanewatch.llm.common import stored, word_count
 from vanewatch.llm.symbols import Sums, blocks, owners, word_spans
 from vanewatch.operators.joins import broadcast_within
 
 WINDOW = 8
 LEAST_WORDS = 4
-#: Words of a window that must stand for themselves.
+#: Words of a window that must stand for themselves; half of them in shorter items.
 LITERALS = 4
 COVER_PERCENT = 50
 COVER_WORDS = 20
@@ -131,7 +131,7 @@ def _windows(widths: list[int], wanted: np.ndarray | None):
                     if len(hashes) == 0:
                         continue
                     ok = doc[: len(hashes)] == doc[width - 1 :]
-                    ok &= literal[width:] - literal[:-width] >= min(LITERALS, width)
+                    ok &= literal[width:] - literal[:-width] >= min(LITERALS, -(-width // 2))
                     if wanted is None:
                         at = np.flatnonzero(ok)
                     else:
@@ -164,8 +164,6 @@ def _row(df: DataFrame, owner: str) -> DataFrame:
 
 
 def _item_widths(items: DataFrame) -> list[int]:
-    from vanewatch.llm.common import word_count
-
     short = (
         items.select(word_count(F.col("text")).alias("n"))
         .where(F.col("n").between(LEAST_WORDS, WINDOW - 1)).distinct().collect()
@@ -238,9 +236,10 @@ def matches(docs: DataFrame, items: DataFrame, filter_bytes: int = FILTER_BYTES)
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` with (contaminated, item_ids): the benchmark items each row holds, by id."""
-    found = (
+    found = stored(
         matches(docs, items, **options).groupBy(F.col("row").alias("_row"))
-        .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+        .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")),
+        "contaminated",
     )
     return (
         docs.withColumn("_at", F.xxhash64("doc_id", "text"))
