@@ -38,7 +38,7 @@ STRETCH = 24
 #: Count added to every piece of every language.
 SMOOTHING = 0.05
 #: Texts of a block are gathered up to this size, so that words repeat within it.
-SCORED_BYTES = 1 << 23
+SCORED_BYTES = 1 << 22
 UND = "und"
 
 NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
@@ -301,12 +301,11 @@ def known_documents(docs: DataFrame, path: str = VOCABULARY, least: float = 0.5,
     """Rows whose language is recognised with a score of ``least`` or more, columns unchanged."""
     training = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
     model = learn(training, vocabulary(path), **options)
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    rest = [c for c in docs.columns if c != "text"]
-    inner = docs.select("text", *rest, F.col("text").alias("_text"))
     types = dict(docs.dtypes)
-    out = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "_text string", "_lang string", "_score double"])
-    named = inner.mapInArrow(_predict(model), out)
-    return named.where((F.col("_lang") != UND) & (F.col("_score") >= least)).select(
-        *[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
+    inner = docs.select("text", *[F.col(c).alias(name) for c, name in plain.items()])
+    schema = [f"{name} {types[c]}" for c, name in plain.items()]
+    named = inner.mapInArrow(_predict(model), ", ".join([*schema, "lang_pred string, score double"]))
+    return named.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(
+        *[F.col(name).alias(c) for c, name in plain.items()]
     )
