@@ -336,6 +336,18 @@ def _settle_contexts(settle: Settle, buckets: int):
     return run
 
 
+def shards(offsets: np.ndarray, anchor: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of contexts of about ``size`` bytes; the contexts of one anchor stay together."""
+    groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+    at = 0
+    while at < len(groups) - 1:
+        limit = offsets[groups[at]] + size
+        upto = int(np.searchsorted(offsets[groups], limit, side="right")) - 1
+        upto = min(max(upto, at + 1), len(groups) - 1)
+        yield int(groups[at]), int(groups[upto])
+        at = upto
+
+
 def mark_repeats(docs: DataFrame, rule: Rule, settle: Settle) -> DataFrame:
     """``docs`` as (doc_id, _id, _key, text, lo, hi).
 

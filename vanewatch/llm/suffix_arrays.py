@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vanewatch.llm.repeats import Rule, mark_repeats
+from vanewatch.llm.repeats import Rule, mark_repeats, shards
 from vanewatch.llm.symbols import Sums, merged
 
 WINDOW = 50
@@ -201,19 +201,12 @@ def settle(ids, keys, lo, data, offsets, anchor):
     """Repeated windows of the contexts of a task, one suffix array per shard."""
     none = np.zeros(0, dtype=np.int64)
     which, begin = [none], [none]
-    groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
-    at = 0
-    while at < len(groups) - 1:
-        limit = offsets[groups[at]] + SHARD_BYTES
-        upto = int(np.searchsorted(offsets[groups], limit, side="right")) - 1
-        upto = min(max(upto, at + 1), len(groups) - 1)
-        a, b = groups[at], groups[upto]
+    for a, b in shards(offsets, anchor, SHARD_BYTES):
         held, start = repeated_windows(
             data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ids[a:b], WINDOW
         )
         which.append(held + a)
         begin.append(start)
-        at = upto
     which, begin = np.concatenate(which), np.concatenate(begin)
     base = which << 32
     start, stop = merged(base + begin, base + begin + WINDOW)

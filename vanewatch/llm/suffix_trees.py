@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vanewatch.llm.repeats import Rule, mark_repeats
+from vanewatch.llm.repeats import Rule, mark_repeats, shards
 from vanewatch.llm.symbols import Sums, merged, owners, word_spans
 
 WINDOW = 20
 RULE = Rule(unit="words", window=WINDOW, gram=8, within=True)
 #: Suffixes of one subtree.
 GROUP_SUFFIXES = 1 << 18
+#: Bytes of contexts that are taken up at once.
+SHARD_BYTES = 1 << 21
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -79,6 +81,22 @@ def _grow(words, group, known, depth) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 def settle(ids, keys, lo, data, offsets, anchor):
     """Repeated windows of the contexts of a task."""
+    none = np.zeros(0, dtype=np.int64)
+    which, begin = [none], [none]
+    for a, b in shards(offsets, anchor, SHARD_BYTES):
+        held, start = _repeated(
+            ids[a:b], lo[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        )
+        which.append(held + a)
+        begin.append(start)
+    which, begin = np.concatenate(which), np.concatenate(begin)
+    base = which << 32
+    start, stop = merged(base + begin, base + begin + WINDOW)
+    return start >> 32, start & 0xFFFFFFFF, stop - (start >> 32 << 32)
+
+
+def _repeated(ids, lo, data, offsets) -> tuple[np.ndarray, np.ndarray]:
+    """(context, first word in it) of windows that start earlier elsewhere."""
     starts, ends, firsts = word_spans(data, offsets)
     held = owners(firsts)
     words = np.unique(Sums(data).spans(starts, ends), return_inverse=True)[1].astype(np.int64)
@@ -96,10 +114,7 @@ def settle(ids, keys, lo, data, offsets, anchor):
         later = (doc > doc[head]) | (place > place[head])
         which.append(held[group[later]])
         begin.append(inside[group[later]])
-    which, begin = np.concatenate(which), np.concatenate(begin)
-    base = which << 32
-    start, stop = merged(base + begin, base + begin + WINDOW)
-    return start >> 32, start & 0xFFFFFFFF, stop - (start >> 32 << 32)
+    return np.concatenate(which), np.concatenate(begin)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
