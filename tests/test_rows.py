@@ -194,3 +194,23 @@ def test_copies_are_limited_before_the_shuffle(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     plan = newest_per_key(df, ["k"], [F.col("id").desc()])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_one_nan_spoils_only_its_own_windows(spark):
+    clocks = [at(seconds=600 * i) for i in range(100)]
+    values = [float("nan") if i == 50 else float(i % 7) for i in range(100)]
+    counts = []
+    for dense in (0, 10**9):
+        out = features_of(spark, clocks, values, dense_rows=dense)
+        counts.append(sum(r["v_std_1h"] is not None and r["v_std_1h"] != r["v_std_1h"] for r in out))
+    assert counts == [7, 7]
+
+
+def test_null_groups_and_keys_are_numbered(spark):
+    from vanewatch.operators.ranking import every_nth, numbered
+
+    rows = [("f", 1), ("f", 2), (None, 1), (None, None), ("f", None)]
+    df = spark.createDataFrame(rows, "file string, id long")
+    got = numbered(df, ["file"], F.floor(F.col("id") / 10), ["id"], "n").collect()
+    assert sorted((r.file or "", r.n) for r in got) == [("", 1), ("", 2), ("f", 1), ("f", 2), ("f", 3)]
+    assert every_nth(df, ["file"], "id", 1).count() == 5

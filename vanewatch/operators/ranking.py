@@ -18,8 +18,8 @@ def numbered(
     """Row number inside ``group``, where ``bucket`` never decreases along ``order``.
 
     Rows are numbered inside (group, bucket) only; the sizes of the earlier buckets, a small
-    table from a map-side combined count, give the offset. The numbered rows are already laid
-    out by (group, bucket), so adding the offset does not shuffle them again.
+    table from a map-side combined count, give the offset. A null group is a group of its own,
+    and a null order key comes first, so no row is lost.
     """
     tagged = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
@@ -30,14 +30,15 @@ def numbered(
         tagged.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
+        .select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_offset")
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     local = tagged.withColumn("_local", F.row_number().over(inside))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     return (
-        local.join(offsets, keys)
+        local.join(offsets, same)
         .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("_bucket", "_offset", "_local")
+        .drop("_bucket", "_offset", "_local", *[f"_of_{k}" for k in keys])
     )
 
 

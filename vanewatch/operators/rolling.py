@@ -117,6 +117,12 @@ class _Moments:
         dev = F.sum(parts.dev + parts.n * off * off).over(frame) - n * (mean - centre) * (mean - centre)
         return cls(n, mean, F.greatest(dev, F.lit(0.0)))
 
+    def centre(self, frame) -> Column:
+        """A value near the parts of a frame; NaN and infinite parts have no say in it."""
+        finite = F.abs(self.mean) < F.lit(float("inf"))  # NaN sorts above all numbers
+        n = F.sum(F.when(finite, self.n)).over(frame)
+        return F.coalesce(F.try_divide(F.sum(F.when(finite, self.n * self.mean)).over(frame), n), F.lit(0.0))
+
     def __add__(self, other: _Moments) -> _Moments:
         n = self.n + other.n
         gap = other.mean - self.mean
@@ -167,7 +173,7 @@ def _dense_statistics(
     edges = []
     for m in names.values():
         parts = _Moments.named(m)
-        centre = F.coalesce(F.try_divide(F.sum(parts.n * parts.mean).over(pane), F.sum(parts.n).over(pane)), F.lit(0.0))
+        centre = parts.centre(pane)
         edges.append(_Moments.over(parts, to_here, centre).packed(f"{m}_begin"))
         edges.append(_Moments.over(parts, from_here, centre).packed(f"{m}_end"))
     marked = placed.select(*keys, "_second", "_pane", "_p", *edges)
@@ -189,7 +195,7 @@ def _dense_statistics(
     whole = []
     for m in names.values():
         parts = _Moments.named(m)
-        centre = F.coalesce(F.try_divide(F.sum(parts.n * parts.mean).over(chunk), F.sum(parts.n).over(chunk)), F.lit(0.0))
+        centre = parts.centre(chunk)
         for h in hours:
             frame = chunk.orderBy("_pane").rangeBetween(-(h * HOUR // PANE) + 1, -1)
             whole.append(_Moments.over(parts, frame, centre).packed(f"{m}_mid_{h}"))
