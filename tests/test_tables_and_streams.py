@@ -150,3 +150,31 @@ def test_serving_table_is_sorted_for_range_reads(spark, folder):
     assert back.count() == 5000
     plan = serving.telemetry(back, "A-3", F.lit(T0), F.lit(T0))._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(turbine_id,A-3)" in plan
+
+
+def test_an_older_row_never_replaces_a_newer_one(spark, folder):
+    path = f"{folder}/newest"
+    rows = lambda *r: spark.createDataFrame(r, "k string, day int, at int, v int")
+    put = lambda df: tables.upsert(df, path, ["k", "day"], [F.col("at").desc()], ["day"])
+    put(rows(("a", 0, 2, 20), ("b", 0, 5, 50)))
+    put(rows(("a", 0, 1, 10), ("b", 0, 6, 60)))
+    put(rows(("b", 0, 6, 61)))
+    got = {r.k: (r["at"], r.v) for r in tables.read_table(spark, path).collect()}
+    assert got == {"a": (2, 20), "b": (6, 61)}
+
+
+def test_files_with_other_headers_lose_no_row(spark, folder):
+    from pathlib import Path
+
+    root = Path(folder) / "landing" / "farm=A" / "turbine=T1"
+    root.mkdir(parents=True)
+    (root / "1.csv").write_text("time_stamp,asset_id,x\n2024-01-01 00:00:00,1,5\n")
+    (root / "2.csv").write_text("asset_id,x,time_stamp\n1,6,2024-01-01 00:10:00\n")
+    (root / "3.csv").write_text("1,7,2024-01-01 00:20:00\n1,8,2024-01-01 00:30:00\n")
+    table = f"{folder}/t"
+    ingest.ingest_evolving(
+        spark, f"{folder}/landing", "A", table, f"{folder}/schema", f"{folder}/c", pattern="turbine=*/*.csv"
+    )
+    stored = spark.read.option("mergeSchema", True).parquet(table)
+    assert sorted(r.x for r in stored.collect()) == [5, 6]
+    assert spark.read.parquet(f"{table}_quarantine").count() == 2

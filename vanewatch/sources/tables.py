@@ -1,7 +1,10 @@
 """Parquet tables: overwrite, keyed upsert, retention and exports.
 
-There is no transactional table format here. One writer per table is assumed; a table is never
-read and overwritten in one plan, and every write can simply be run again.
+There is no transactional table format here. One writer per table is assumed, and every write
+can simply be run again. An upsert reads the partitions that it replaces: Spark stages the new
+ones and swaps them in at commit, which is a rename per partition on a file system, but not
+atomic across partitions, nor on an object store. Readers that must not see a commit in progress
+need a table format with snapshots.
 """
 
 from __future__ import annotations
@@ -77,12 +80,12 @@ def upsert(
     partitions: list[str],
     evolving: bool = False,
 ) -> None:
-    """Insert or replace rows by key, whole rows at a time.
+    """Insert or replace rows by key, whole rows at a time; the newest row of a key stays.
 
-    Only partitions with incoming rows are read and rewritten. ``partitions`` must depend on
-    the key alone, so a row never moves between them. Dynamic overwrite writes the merged
-    partitions to a staging folder and swaps them in when the job commits, after the old ones
-    were read; until then a lost executor or a failed job leaves the table as it was.
+    ``newest_first`` orders stored rows too, so its columns belong to the table. A late batch
+    with an older row leaves the stored one; of equally new rows the incoming one wins. Only partitions with incoming rows are read and rewritten. ``partitions`` must depend on
+    the key alone, so a row never moves between them. Until the job commits, a lost executor or
+    a failed job leaves the table as it was.
     ``evolving`` keeps columns that only some of the stored files have.
     """
     incoming = newest_per_key(source, keys, newest_first).persist(StorageLevel.MEMORY_AND_DISK)
@@ -90,10 +93,9 @@ def upsert(
     merged = incoming
     if existing is not None:
         touched = broadcast_within(incoming.select(*partitions).distinct())
-        kept = existing.join(touched, partitions, "left_semi").join(
-            incoming.select(*keys), keys, "left_anti"
-        )
-        merged = kept.unionByName(incoming, allowMissingColumns=True)
+        stored = existing.join(touched, partitions, "left_semi").withColumn("_fresh", F.lit(0))
+        both = stored.unionByName(incoming.withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
+        merged = newest_per_key(both, keys, [*newest_first, F.desc("_fresh")]).drop("_fresh")
     overwrite_partitions(merged.hint("rebalance", *partitions), path, partitions)
     incoming.unpersist()
 

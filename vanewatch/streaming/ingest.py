@@ -81,8 +81,9 @@ def ingest_evolving(
 
     Files arrive as text lines and whole, so each micro-batch holds its files' headers: at
     most ``max_files`` of them, which bounds the table the lines are joined with. Lines are
-    parsed once per distinct header. A batch owns a partition of the table, so a replayed
-    batch replaces itself.
+    parsed once per distinct header, which may name its columns in any order. Lines of files
+    without a header go to a second table, ``{table}_quarantine``, as they are. A batch owns a
+    partition of either table, so a replayed batch replaces itself.
     """
     lines = (
         spark.readStream.option("maxFilesPerTrigger", max_files)
@@ -91,7 +92,7 @@ def ingest_evolving(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        is_header = F.col("value").startswith(f"{first_column},")
+        is_header = F.array_contains(F.split("value", ","), first_column)
         headers = batch.where(is_header).select("_source_file", F.col("value").alias("_header"))
         headers = headers.dropDuplicates(["_source_file"])
         examples = headers.groupBy("_header").agg(F.min("_source_file").alias("file")).collect()
@@ -103,6 +104,14 @@ def ingest_evolving(
                     types.setdefault(f.name, f.dataType)
         if len(types) > len(known):
             store_schema(spark, T.StructType([T.StructField(n, t) for n, t in types.items()]), schema_path)
+        headless = batch.join(F.broadcast(headers), "_source_file", "left_anti")
+        (
+            headless.withColumns({"farm": F.lit(farm), "_batch": F.lit(batch_id)})
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("farm", "_batch").parquet(f"{table}_quarantine")
+        )
+        if not examples:
+            return
         body = batch.where(~is_header).join(F.broadcast(headers), "_source_file")
         parsed = body.select("_source_file")
         for e in examples:
