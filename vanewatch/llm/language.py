@@ -38,7 +38,7 @@ STRETCH = 24
 #: Count added to every piece of every language.
 SMOOTHING = 0.05
 #: Texts of a block are gathered up to this size, so that words repeat within it.
-SCORED_BYTES = 1 << 22
+SCORED_BYTES = 1 << 21
 UND = "und"
 
 NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
@@ -231,10 +231,10 @@ def _expected(pieces: Pieces, languages: tuple[str, ...], chances: np.ndarray):
     return run
 
 
-def _predict(model: Model):
+def _predict(model: Model, text: str = "text", keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in blocks(batch.column("text"), SCORED_BYTES):
+            for rows, data, offsets in blocks(batch.column(text), SCORED_BYTES):
                 n = len(offsets) - 1
                 starts, ends, firsts = word_spans(data, offsets)
                 held = owners(firsts)
@@ -267,9 +267,9 @@ def _predict(model: Model):
                 ]
                 score = np.where(lettered & (len(model.languages) > 0), score, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c)[rows.start : rows.stop] for c in batch.schema.names if c != "text"),
+                    [*(batch.column(c)[rows.start : rows.stop] for c in batch.schema.names if keep_text or c != text),
                      pa.array(names, pa.string()), pa.array(score)],
-                    [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
+                    [*(c for c in batch.schema.names if keep_text or c != text), "lang_pred", "score"],
                 )
 
     return run
@@ -303,9 +303,9 @@ def known_documents(docs: DataFrame, path: str = VOCABULARY, least: float = 0.5,
     model = learn(training, vocabulary(path), **options)
     types = dict(docs.dtypes)
     plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called
-    inner = docs.select("text", *[F.col(c).alias(name) for c, name in plain.items()])
+    inner = docs.select(*[F.col(c).alias(name) for c, name in plain.items()])
     schema = [f"{name} {types[c]}" for c, name in plain.items()]
-    named = inner.mapInArrow(_predict(model), ", ".join([*schema, "lang_pred string, score double"]))
+    named = inner.mapInArrow(_predict(model, plain["text"], True), ", ".join([*schema, "lang_pred string, score double"]))
     return named.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(
         *[F.col(name).alias(c) for c, name in plain.items()]
     )
