@@ -53,6 +53,28 @@ def test_links_past_the_first_leader(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_long_lists_lose_no_link(spark, seed):
+    """Many near copies of one text; some are linked by edits they share, far from the centre."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(110)]
+    edits = [(rng.randrange(110), f"e{i}") for i in range(40)]
+    rows = []
+    for n in range(260):
+        text = list(base)
+        for at, word in rng.sample(edits, rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            text[at] = word
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            text[rng.randrange(110)] = f"x{rng.randrange(500)}"
+        if rng.random() < 0.2:
+            text = text[: rng.randint(80, 105)]
+        if rng.random() < 0.1:
+            text += [f"y{n % 7}-{i}" for i in range(rng.randint(5, 60))]
+        rows.append((n, " ".join(text)))
+    got = signatures.near_groups(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (3, text), (3, text), (9, text)]

@@ -8,13 +8,18 @@ texts hold them, two such texts share one of their first ``COORDINATES - MATCHES
 A pair that nobody else holds counts toward that prefix without a posting, so a text without near
 copies posts nothing, however common some of its phrases are.
 
-Lists are merged by leaders, the most central members first: those whose coordinates most other
-texts hold. Members meet their list's leader, collisions are counted over whole signatures, and
-what stays above the threshold is confirmed on the full shingle sets. Confirmed links form
-components. A list whose members are all in one component is skipped from then on. In the others
-the next members lead, across components only: all of them in lists of up to ``SHORT_LIST``, the
-``LEADERS`` most central ones in longer lists. Two texts of a long list that are closer to each
-other than to its centre share pairs that the centre lacks, and meet in the short lists of those.
+Lists are merged by leaders, the most central members: those whose coordinates most other texts
+hold. Members meet their list's leader, collisions are counted over whole signatures, and what
+stays above the threshold is confirmed on the full shingle sets. Confirmed links form components.
+A list whose members are all in one component is skipped from then on. The others are completed
+across components: in lists of up to ``SHORT_LIST`` every member leads in turn; members of longer
+lists are joined on what they do not have in common with their leader.
+
+For that join, let D(x) be the shingles that only one of x and the leader holds. Two texts u and v
+differ in |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles, so a link needs a certain overlap of D(u)
+and D(v). Of two texts in different components at least one is not linked with the leader; its D
+is large, and then the overlap is at least about half of either. It is found by prefixes of D,
+rarest shingles first, and by positions in them, without comparing all members of a list.
 
 Defined results: a null text and a text without words have an empty set and link with nothing; a
 text shorter than a shingle is one shingle; rows with a null id are linked with nothing and
@@ -42,7 +47,6 @@ COORDINATES = 48
 MATCHES = 28
 PERCENT = 85
 SHORT_LIST = 32
-LEADERS = 8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -135,33 +139,115 @@ def _colliding(matches: int):
     return run
 
 
+def _paired_sets(batch: pa.RecordBatch):
+    """(rows, two sides) of stretches of a batch of text pairs.
+
+    A side holds the pair, the hash and the key of each distinct shingle of ``text_a`` or
+    ``text_b``; equal keys are equal shingles of one pair.
+    """
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in ("text_a", "text_b"):
+        sizes += np.array([len(t) for t in batch.column(c).to_pylist()], dtype=np.int64)
+    part = np.cumsum(sizes) // BLOCK_BYTES
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        piece = batch.slice(a, b - a)
+        sides = []
+        for c in ("text_a", "text_b"):
+            (_, data, offsets), = blocks(piece.column(c), 1 << 62)
+            hashes, held, keys = _distinct(*shingles(data, offsets))
+            sides.append((held, hashes, keys))
+        yield piece, sides
+
+
 def _confirmed(percent: int):
     """Keeps links whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.zeros(batch.num_rows, dtype=np.int64)
-            for c in ("text_a", "text_b"):
-                sizes += np.array([len(t) for t in batch.column(c).to_pylist()], dtype=np.int64)
-            part = np.cumsum(sizes) // BLOCK_BYTES
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                piece = batch.slice(a, b - a)
-                sides = []
-                for c in ("text_a", "text_b"):
-                    (_, data, offsets), = blocks(piece.column(c), 1 << 62)
-                    _, held, keys = _distinct(*shingles(data, offsets))
-                    sides.append((held, keys))
-                (held_a, keys_a), (held_b, keys_b) = sides
-                both = np.bincount(held_a[np.isin(keys_a, keys_b)], minlength=b - a)
-                either = (
-                    np.bincount(held_a, minlength=b - a) + np.bincount(held_b, minlength=b - a) - both
-                )
+            for piece, ((held_a, _, keys_a), (held_b, _, keys_b)) in _paired_sets(batch):
+                n = piece.num_rows
+                both = np.bincount(held_a[np.isin(keys_a, keys_b)], minlength=n)
+                either = np.bincount(held_a, minlength=n) + np.bincount(held_b, minlength=n) - both
                 yield piece.select(["a", "b"]).filter(pa.array(100 * both >= percent * either))
 
     return run
 
 
+DIFFERENCES = "rep long, lead long, n_rep long, n_lead long, shingle long"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle that only one of text ``a`` and its leader ``b`` holds, with both set sizes."""
+    for batch in batches:
+        for piece, ((held_a, hashes_a, keys_a), (held_b, hashes_b, keys_b)) in _paired_sets(batch):
+            n = piece.num_rows
+            own, lacked = ~np.isin(keys_a, keys_b), ~np.isin(keys_b, keys_a)
+            pair = np.concatenate([held_a[own], held_b[lacked]])
+            sizes = (np.bincount(held, minlength=n)[pair] for held in (held_a, held_b))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(piece.column(c).to_numpy()[pair]) for c in ("a", "b")),
+                    *(pa.array(size.astype(np.int64)) for size in sizes),
+                    pa.array(np.concatenate([hashes_a[own], hashes_b[lacked]]).view(np.int64)),
+                ],
+                ["rep", "lead", "n_rep", "n_lead", "shingle"],
+            )
+
+
+def _across(led: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under one leader that may be links; none is missed.
+
+    ``led`` has rep, component, lead and lead_component. With r = (100 - percent) / (100 + percent),
+    u and v are linked if they differ in at most r (|u| + |v|) shingles. A text u outside its
+    leader's component is not linked with the leader, so |D(u)| > r (|u| + |leader|). Hence the
+    overlap with any v is more than (|D(v)| + r (|leader| - |v|)) / 2. It is also at least
+    |D(u)| - r (|u| + |v|), since it is at most |D(v)|. Both bound the prefixes.
+    """
+    r = (100 - percent) / (100 + percent)
+    slack = 1e-6
+    spread = stored(
+        led.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_a")), "rep")
+        .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("text_b")), "lead")
+        .select(F.col("rep").alias("a"), F.col("lead").alias("b"), "text_a", "text_b")
+        .mapInArrow(_differences, DIFFERENCES),
+        "differences",
+    )
+    held = spread.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    ranked = (
+        spread.join(held, ["lead", "shingle"])
+        .groupBy("rep", "lead", "n_rep", "n_lead")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+        .join(led, ["rep", "lead"])
+        .withColumn("outside", F.col("component") != F.col("lead_component"))
+        .withColumn("size", F.size("own"))
+    )
+    facing_outside = F.floor((F.col("size") + r * (F.col("n_lead") - F.col("n_rep"))) / 2 - slack) + 1
+    facing_inside = F.ceil(F.col("size") - r * F.col("n_rep") * (1 + 100 / percent) - slack)
+    overlap = F.when(F.col("outside"), F.least(facing_outside, facing_inside)).otherwise(facing_outside)
+    taken = F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), overlap) + 1).cast("int")
+    posted = stored(
+        ranked.select(
+            "rep", "lead", "n_rep", "component", "outside", "size",
+            F.posexplode(F.slice("own", F.lit(1), taken)).alias("at", "p"),
+        )
+        .where("p.n > 1")
+        .select("rep", "lead", "n_rep", "component", "outside", "size", "at", F.col("p.shingle").alias("shingle")),
+        "difference-postings",
+    )
+    other = posted.select(*[F.col(c).alias(f"_{c}") for c in posted.columns])
+    needed = (F.col("size") + F.col("_size") - r * (F.col("n_rep") + F.col("_n_rep"))) / 2 - slack
+    possible = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    return (
+        posted.where("outside")
+        .join(other, (F.col("lead") == F.col("_lead")) & (F.col("shingle") == F.col("_shingle")))
+        .where((F.col("component") != F.col("_component")) & (~F.col("_outside") | (F.col("rep") < F.col("_rep"))))
+        .where(possible >= needed)
+        .select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+        .distinct()
+    )
+
+
 def _postings(reps: DataFrame, matches: int) -> DataFrame:
     """(pair, rep, apart): every text under the shared pairs of its prefix, rarest first.
 
@@ -241,34 +327,51 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
     links = stored(confirm(pairs), "near-links")
     found = components(links)
     by_rank = Window.partitionBy("pair").orderBy("apart", "rep")
-    for led, upto, longest in ((1, LEADERS, None), (LEADERS, SHORT_LIST, SHORT_LIST)):
+
+    def open_lists() -> DataFrame:
+        """Members in central order of the lists that still hold more than one component."""
         named = lists.join(found, F.col("rep") == F.col("node"), "left").select(
             "pair", "rep", "apart", F.coalesce("component", "rep").alias("component")
         )
         still_open = (
             named.groupBy("pair")
             .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where((F.col("n") > led + 1) & (F.col("lo") < F.col("hi")))
+            .where("n > 2 AND lo < hi")
+            .select(F.col("pair").alias("open"), "n")
         )
-        if longest:
-            still_open = still_open.where(F.col("n") <= longest)
-        left = stored(
-            named.join(still_open.select(F.col("pair").alias("open")), F.col("pair") == F.col("open"))
+        return stored(
+            named.join(still_open, F.col("pair") == F.col("open"))
             .withColumn("at", F.row_number().over(by_rank))
-            .select("pair", "rep", "component", "at"),
+            .select("pair", "rep", "component", "at", "n"),
             "open-lists",
         )
-        lead = left.where(F.col("at").between(led + 1, upto)).select(
+
+    def short_pairs() -> DataFrame:
+        members = open_lists().where(F.col("n") <= SHORT_LIST)
+        lead = members.where("at > 1").select(
             F.col("pair").alias("p"), F.col("rep").alias("b"), F.col("component").alias("c"),
             F.col("at").alias("lead_at"),
         )
-        pairs = (
-            left.join(lead, (F.col("pair") == F.col("p")) & (F.col("at") > F.col("lead_at")))
+        return (
+            members.join(lead, (F.col("pair") == F.col("p")) & (F.col("at") > F.col("lead_at")))
             .where("component <> c")
             .select(F.col("rep").alias("a"), "b")
             .distinct()
         )
-        fresh = stored(confirm(pairs), "near-links")
+
+    def long_pairs() -> DataFrame:
+        members = open_lists().where(F.col("n") > SHORT_LIST)
+        lead = members.where("at = 1").select(
+            F.col("pair").alias("p"), F.col("rep").alias("lead"), F.col("component").alias("lead_component")
+        )
+        led = (
+            members.where("at > 1").join(lead, F.col("pair") == F.col("p"))
+            .select("rep", "component", "lead", "lead_component").distinct()
+        )
+        return _across(stored(led, "led"), texts, percent)
+
+    for completed in (short_pairs, long_pairs):
+        fresh = stored(confirm(completed()), "near-links")
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             found = components(links)
