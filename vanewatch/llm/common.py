@@ -26,6 +26,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch from here on; whole texts in the default 10,000 fill tens of MB.
+
+    JVM and Python worker hold such a batch several times over, per task. Results are the same.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

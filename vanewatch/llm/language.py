@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vanewatch.llm.common import arrow_rows
 from vanewatch.llm.symbols import Sums, blocks, owners, word_spans
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,7 +39,7 @@ STRETCH = 24
 #: Count added to every piece of every language.
 SMOOTHING = 0.05
 #: Texts of a block are gathered up to this size, so that words repeat within it.
-SCORED_BYTES = 1 << 21
+SCORED_BYTES = 1 << 20
 UND = "und"
 
 NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
@@ -290,6 +291,7 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, path: str = VOCABULARY, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learned from the rows not held out."""
+    arrow_rows(docs.sparkSession)
     training = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
     model = learn(training, vocabulary(path), **options)
     return docs.select(
@@ -299,6 +301,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, **options) -> DataFrame:
 
 def known_documents(docs: DataFrame, path: str = VOCABULARY, least: float = 0.5, **options) -> DataFrame:
     """Rows whose language is recognised with a score of ``least`` or more, columns unchanged."""
+    arrow_rows(docs.sparkSession)
     training = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")))
     model = learn(training, vocabulary(path), **options)
     types = dict(docs.dtypes)
