@@ -60,11 +60,20 @@ def attach(
     salts: int = 32,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Equi-join big ``rows`` with a smaller ``dimension`` whose keys may be hot in ``rows``."""
+    """Equi-join big ``rows`` with a smaller ``dimension`` whose keys may be hot in ``rows``.
+
+    A row with a null key matches nothing. Such rows may be nearly all there are, so they are
+    spread over all tasks instead of the few pieces of a hot key.
+    """
     if broadcast_bytes > 0 and measured_bytes(dimension) <= broadcast_bytes:
         return rows.join(F.broadcast(dimension), keys, how)
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    anywhere = F.xxhash64(*salt_on).cast("int")
     return (
         salted(rows, salt_on, salts)
+        .withColumn("_salt", F.when(missing, anywhere).otherwise(F.col("_salt")))
         .join(replicate(dimension, salts), [*keys, "_salt"], how)
         .drop("_salt")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanewatch.functions.labels import display_id, strip_avg
@@ -25,8 +25,9 @@ def turbine_ranks(rows: DataFrame) -> DataFrame:
     text = F.col("asset_id").cast("string")
     assets = rows.select("farm", "asset_id").distinct().withColumn("_text", text)
     length = F.length("_text")
-    head = F.conv(F.hex(F.substring("_text", 1, 3)), 16, 10).cast("bigint")
-    bucket = length * F.lit(1 << 26) + F.coalesce(head, F.lit(0))
+    first_bytes = F.hex(F.substring(F.col("_text").cast("binary"), 1, 3))  # text sorts by bytes
+    head = F.conv(F.rpad(first_bytes, 6, "0"), 16, 10).cast("bigint")
+    bucket = length * F.lit(1 << 24) + F.coalesce(head, F.lit(0))
     return numbered(assets, ["farm"], bucket, [length, "_text"], "rank").drop("_text")
 
 
@@ -50,12 +51,25 @@ def sensor_readings(
     )
 
 
-def telemetry(readings: DataFrame, turbine_id: str, first: Column, last: Column) -> DataFrame:
-    """One request: readings of a turbine with both ends of the range included, by time."""
+def telemetry(
+    readings: DataFrame, turbine_id: str, first: Column, last: Column, max_rows: int | None = None
+) -> DataFrame:
+    """One request: readings of a turbine with both ends of the range included, by time.
+
+    ``max_rows`` is a safety valve for requests over a very long range; every row then tells in
+    ``truncated`` whether the range held more.
+    """
+    found = readings.where(
+        (F.col("turbine_id") == turbine_id) & F.col("time").between(first, last)
+    ).select("time", "sensor", "value", F.coalesce("unit", F.lit("")).alias("unit"))
+    if max_rows is None:
+        return found.orderBy("time", "sensor")
+    page = found.orderBy("time", "sensor").limit(max_rows + 1)
+    whole_page = Window.partitionBy()
     return (
-        readings.where((F.col("turbine_id") == turbine_id) & F.col("time").between(first, last))
-        .select("time", "sensor", "value", F.coalesce("unit", F.lit("")).alias("unit"))
+        page.withColumn("truncated", F.count(F.lit(1)).over(whole_page) > max_rows)
         .orderBy("time", "sensor")
+        .limit(max_rows)
     )
 
 
