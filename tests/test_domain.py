@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vanewatch.domain import REPORT_OTHER, REPORT_TAXONOMY
 from vanewatch.functions import bands, labels
 from vanewatch.functions.taxonomy import first_match, matches
-from vanewatch.operators import alerting, extras, faults, kpi, quality, sensors, serving
+from vanewatch.operators import alerting, extras, faults, joins, kpi, quality, sensors, serving
 from vanewatch.sources.landing import affected, routed
 
 T0 = datetime(2024, 1, 1)
@@ -195,3 +195,36 @@ def test_acknowledging(spark):
     alerts = alerting.evaluated(predictions(spark, (0.95, 10.0)), spark.createDataFrame([], NO_CONFIG), "predicted_at")
     done = alerting.acknowledged(alerts, spark.createDataFrame([("A-1#gearbox",), ("other",)], "id string"))
     assert done.count() == 1 and alerting.active(done).isEmpty()
+
+
+def test_telemetry_tells_when_it_was_cut(spark):
+    r = spark.createDataFrame([("A-1", at(h), "s", float(h), None) for h in range(4)], "turbine_id string, time timestamp, sensor string, value double, unit string")
+    read = lambda n: [(x.value, x.truncated) for x in serving.telemetry(r, "A-1", F.lit(at(0)), F.lit(at(9)), n).collect()]
+    assert read(3) == [(0.0, True), (1.0, True), (2.0, True)]
+    assert read(4) == [(float(h), False) for h in range(4)]
+
+
+def test_ranks_of_ids_with_long_characters_follow_bytes(spark):
+    ids = ["zz", "\u00e9a", "a\U0001f600", "\uffe6b", "\U0001f600c", "b"]
+    rows = spark.createDataFrame([("A", i) for i in ids], "farm string, asset_id string")
+    got = {x.asset_id: x["rank"] for x in serving.turbine_ranks(rows).collect()}
+    want = sorted(ids, key=lambda i: (len(i), i.encode()))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+
+
+def test_types_of_cells(spark):
+    cells = {
+        "int": ["1", "-2", " 3 "], "float": ["1", "2.5", "NaN", None], "datetime": ["2024-01-01", "2024-01-01 10:00:00"],
+        "str": ["1", "2024-01-01"], "none": [None, None], "hole": ["1", None], "word": ["infinite", "nano"],
+    }
+    for name, values in cells.items():
+        df = spark.createDataFrame([("A", v) for v in values], "farm string, c string")
+        got = quality.observed_types(df, ["c"], ["farm"]).first()["actual"]
+        assert got == {"none": "float", "hole": "float", "word": "str"}.get(name, name), name
+
+
+def test_null_keys_survive_a_salted_join(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("b", 4)], "k string, id int")
+    side = spark.createDataFrame([("a", 7), (None, 9)], "k string, v int")
+    out = joins.attach(rows, side, ["k"], ["id"], broadcast_bytes=0)
+    assert sorted((r.id, r.v) for r in out.collect()) == [(1, None), (2, 7), (3, None), (4, None)]

@@ -127,6 +127,12 @@ def test_rul_joins_features_although_their_event_id_is_null(spark):
     assert [r.hours_to_failure for r in out] == [5.0]
 
 
+def test_rul_is_looked_up_on_feature_rows(spark):
+    features = rows_at(spark, [at(0), at(1), at(7)]).withColumn("event_id", F.when(F.col("id") == 1, "0"))
+    out = rul.labelled_features(features, events_of(spark, {"1": (at(5), at(6))})).collect()
+    assert [(r.id, r.hours_to_failure) for r in out] == [(0, 5.0)]
+
+
 def features_of(spark, clocks, values, **options):
     df = rows_at(spark, clocks).withColumn("v", F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") + 1).cast("int")))
     keep = ["farm", "asset_id", "time_stamp", "id"]

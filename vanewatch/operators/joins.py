@@ -70,7 +70,7 @@ def attach(
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
-    anywhere = F.xxhash64(*salt_on).cast("int")
+    anywhere = F.xxhash64(*salt_on)
     return (
         salted(rows, salt_on, salts)
         .withColumn("_salt", F.when(missing, anywhere).otherwise(F.col("_salt")))

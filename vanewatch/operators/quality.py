@@ -54,10 +54,11 @@ def missing_buckets(profile: DataFrame) -> DataFrame:
     )
 
 
-def sparsest(profile: DataFrame, n: int = 8) -> DataFrame:
-    """The report's list of the ``n`` sparsest columns."""
+def sparsest(profile: DataFrame, n: int | None = None) -> DataFrame:
+    """The sparse columns, sparsest first; a report shows the first ``n``."""
     sparse = profile.where(missing_bucket("n_missing", "n_rows") == "sparse")
-    return sparse.orderBy(F.col("pct_missing").desc(), "farm", "column_name").limit(n)
+    ordered = sparse.orderBy(F.col("pct_missing").desc(), "farm", "column_name")
+    return ordered if n is None else ordered.limit(n)
 
 
 def with_share(counts: DataFrame, total_of: str = "farm", digits: int = 3) -> DataFrame:
@@ -143,8 +144,8 @@ def type_check(raw: DataFrame) -> DataFrame:
     )
 
 
-def type_drift(raw: DataFrame, columns: list[str], n: int | None = 50) -> DataFrame:
-    """Columns whose type in a file differs from the farm's first file; the report shows 50."""
+def type_drift(raw: DataFrame, columns: list[str], n: int | None = None) -> DataFrame:
+    """Columns whose type in a file differs from the farm's first file; a report shows ``n``."""
     per_file = observed_types(raw, columns, ["farm", FILE])
     number = F.regexp_extract(FILE, r"(\d+)", 1).try_cast("bigint")
     first = per_file.groupBy("farm", "column_name").agg(

@@ -65,3 +65,18 @@ def labelled_for_rul(features: DataFrame, labels: DataFrame) -> DataFrame:
     target = labels.select("farm", "asset_id", "time_stamp", "hours_to_failure")
     return features.join(target, ["farm", "asset_id", "time_stamp"])
 
+
+
+def labelled_features(
+    features: DataFrame,
+    faults: DataFrame,
+    horizon_hours: int = RUL_HORIZON_HOURS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Feature rows outside any event window with the hours to the next failure.
+
+    The label depends on a row's asset and time only, so it is looked up where the features
+    are: while the faults are small nothing is shuffled, and labels need not be kept.
+    """
+    quiet = features.where(F.col("event_id").isNull())
+    return next_failure(quiet, faults, horizon_hours, broadcast_bytes).drop("next_event_id")

@@ -41,7 +41,7 @@ def missingness_buckets(spark, sf_dir):
     SELECT farm, column_name, n_rows, n_missing, pct_missing FROM ({MISSING_SQL}) WHERE {BUCKET_SQL} = 'sparse'
     ORDER BY pct_missing DESC, farm, column_name LIMIT 8""", "scada"))
 def top_sparse_columns(spark, sf_dir):
-    return quality.sparsest(quality.missingness(fv.scada(spark, sf_dir), PROFILED))
+    return quality.sparsest(quality.missingness(fv.scada(spark, sf_dir), PROFILED), n=8)
 
 
 STATUS_SQL = """
@@ -112,7 +112,7 @@ def dtype_sanity(spark, sf_dir):
     WHERE actual <> first_type ORDER BY farm, file_event_id LIMIT 50""", "scada"))
 def first_n_mismatch(spark, sf_dir):
     """The report's first fifty files whose status type differs from the first file's."""
-    return quality.type_drift(as_text(spark, sf_dir), ["status_type_id"]).select(
+    return quality.type_drift(as_text(spark, sf_dir), ["status_type_id"], n=50).select(
         "farm", "_source_file", "actual", "first_type"
     )
 

@@ -223,8 +223,7 @@ def label_join(spark, sf_dir):
     FROM features f JOIN rul r ON f.farm = r.farm AND f.asset_id = r.asset_id AND f.time_stamp = r.time_stamp""",
     "features", "rul"))
 def rul_join(spark, sf_dir):
-    labels_ = rul.rul_labels(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
-    out = rul.labelled_for_rul(fv.features(spark, sf_dir), labels_).select(
+    out = rul.labelled_features(fv.features(spark, sf_dir), fv.stored_faults(spark, sf_dir)).select(
         "farm", "asset_id", "time_stamp", "hours_to_failure", "sensor_1_avg_avg_24h"
     )
     return rounded(out, ["hours_to_failure", "sensor_1_avg_avg_24h"])
