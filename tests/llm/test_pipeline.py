@@ -45,6 +45,32 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     assert got == ["1", "3", "None"]
 
 
+def test_near_dedup_takes_every_pair_of_80_percent(spark):
+    """Texts of 104 words, 100 shingles; a changed word in the middle takes five of them."""
+    rows = []
+    for n in range(30):
+        words = [f"t{n}w{i}" for i in range(104)]
+        rows.append((2 * n, " ".join(words), "en", "s", 1))
+        for k in range(n % 3 + 1):
+            words[10 + 20 * k] = "other"
+        if n % 3 == 1:
+            words.append("more")
+        if n % 3 == 2:
+            words[-4:] = []
+        rows.append((2 * n + 1, " ".join(words), "en", "s", 1))
+    df = spark.createDataFrame(rows, documents(spark).schema)
+    texts = [(r[0], r[1]) for r in rows]
+    want = {d for d, (n, component) in brute.near_components(texts, 80).items() if d == component}
+    assert want != {d for d, (n, component) in brute.near_components(texts).items() if d == component}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == want
+
+
+def test_near_dedup_equals_brute_force_at_80_percent(spark):
+    docs = documents(spark)
+    want = {d for d, (n, c) in brute.near_components([(r.doc_id, r.text) for r in docs.collect()], 80).items() if d == c}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
+
+
 def test_empty_documents(spark):
     docs = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
