@@ -55,6 +55,28 @@ def test_inconsistent_values_are_no_leak(spark):
     assert contaminated(spark, [same, other], item) == {1: [1], 2: []}
 
 
+def test_word_for_word_copies_are_found_whatever_they_hold(spark):
+    titles = "THE OLD MAN AND THE SEA IS A SHORT NOVEL"
+    names = "Anna 12 Bert 15 Carl 19 Dora 23 Emil 30"
+    lower = "which of the planets has the most moons of all"
+    han = "下列哪一项是光合作用的主要产物？"
+    items = [(1, titles), (2, names), (3, lower), (4, han), (5, "ราคาของแอปเปิล")]
+    rows = [(1, f"He wrote {titles} in capitals"), (2, f"so it was: {names} and no more"), (3, f"Quiz. {lower.upper()} Well."),
+            (4, f"问题：{han}答案是氧气。"), (5, "ถามว่าราคาของแอปเปิลเท่าไร"), (6, "他们今天去了学校。"), (7, "An old man at sea")]
+    assert contaminated(spark, rows, items) == {**{i: [i] for i in range(1, 6)}, 6: [], 7: []}
+
+
+def test_one_changed_value_does_not_clear_a_copy(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    words[10], words[95] = "5", "5"
+    copied = " ".join(words)
+    words[95] = "6"
+    assert contaminated(spark, [(1, " ".join(words))], [(1, copied)]) == {1: [1]}
+    item = [(1, "take 3 of the red pears and 3 of the green pears and then 3 of the blue pears and stop there")]
+    other = "take 7 of the red pears and 7 of the green pears and then 8 of the blue pears and stop there"
+    assert contaminated(spark, [(1, other)], item) == {1: [1]}
+
+
 def test_empty_tables(spark):
     assert contaminated(spark, [(1, "some text")], [(1, None)]) == {1: []}
     none = spark.createDataFrame([], "doc_id long, text string")
