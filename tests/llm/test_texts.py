@@ -66,6 +66,21 @@ def test_word_for_word_copies_are_found_whatever_they_hold(spark):
     assert contaminated(spark, rows, items) == {**{i: [i] for i in range(1, 6)}, 6: [], 7: []}
 
 
+def test_words_after_a_break_have_both_forms(spark):
+    items = [(1, "Name the largest known planet."), (2, "Alice bought 12 red apples yesterday."),
+             (3, "Tom has 5 apples left. Ann has 3 pears left. Max has 8 plums left. Eve has 2 figs left."),
+             (4, "If it snows, wait. Kim sold 4 hats")]
+    rows = [(10 + i, text) for i, text in enumerate((
+        "(Q1) Name the largest known planet.", "Well, Name the largest known planet.", "Quiz - Name the largest known planet.",
+        "he said \"Name the largest known planet.\"", "Please name the largest known planet.", "Name the largest known planet."))]
+    rows += [(20, "Bob bought 9 red apples yesterday."), (21, "It rained. Bob bought 9 red apples yesterday."),
+             (22, "and then Bob bought 9 red apples yesterday."),
+             (30, "Pia has 6 apples left. Joe has 4 pears left. Ida has 9 plums left. Ulf has 3 figs left."),
+             (40, "so if it snows, wait. Lea sold 7 hats"), (50, "The largest known planet is far away.")]
+    want = {r[0]: [r[0] // 10] for r in rows if r[0] < 50} | {50: []}
+    assert contaminated(spark, rows, items) == want
+
+
 def test_one_changed_value_does_not_clear_a_copy(spark):
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
     words[10], words[95] = "5", "5"

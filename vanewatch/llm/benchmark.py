@@ -8,6 +8,10 @@ value of the document that stands in more than half of its places, and windows w
 do not count. So a question asked again with other numbers or names is found, and a text that only
 shares a pattern of placeholders is not.
 
+A capitalised word that begins a sentence may be a name or not. It has both forms, as have words
+after any other break: every window stands under each choice, so that a form agrees with the same
+word in mid-sentence, in lower case, and with another name.
+
 Beside the templates the lower-cased words themselves are joined, without placeholders and without
 a least number of literal words: a copy word for word is found whatever it consists of. In scripts
 without spaces every character is a word.
@@ -61,7 +65,8 @@ UNITS = frozenset(
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 DIGIT = re.compile(r"\d")
-STOP = re.compile(r"[.!?:]\W*$")
+#: Punctuation at either end of a word parts it from its neighbour.
+BEFORE, AFTER = re.compile(r"^[\W_]"), re.compile(r"[\W_]$")
 ALNUM = np.array([c for c in range(128) if chr(c).isalnum()], dtype=np.uint8)
 PLAIN, NUMBER, UNIT, CAPITAL = range(4)
 #: Symbols of the placeholders, in the order of the kinds.
@@ -78,21 +83,22 @@ WINDOWS = (
 WINDOW_NAMES = [part.split(" ")[0] for part in WINDOWS.split(", ")]
 
 
-def _kinds(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Canonical form, kind and whether a sentence ends there, of distinct words."""
-    forms, kinds, stops = [], np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool)
+def _kinds(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical form, kind, and whether a break stands before or after it, of distinct words."""
+    forms, kinds = [], np.zeros(len(words), dtype=np.int64)
+    starts, stops = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
     for i, word in enumerate(words):
         bare = EDGE.sub("", word)
         form = bare.lower()
         forms.append(form or word)
-        stops[i] = STOP.search(word) is not None
+        starts[i], stops[i] = BEFORE.search(word) is not None, AFTER.search(word) is not None
         if DIGIT.search(form) or form in NUMBER_WORDS:
             kinds[i] = NUMBER
         elif form in UNITS:
             kinds[i] = UNIT
         elif bare[:1].isupper():
             kinds[i] = CAPITAL
-    return forms, kinds, stops
+    return forms, kinds, starts, stops
 
 
 def _parted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray):
@@ -124,26 +130,28 @@ def _parted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.n
     return cuts, stops, np.append(np.searchsorted(cuts, starts), len(cuts))[firsts]
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, values, is placeholder, first word of each document) of a block.
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(symbols, values, is placeholder, may be a name too, first word of each document) of a block.
 
-    A unit is a placeholder only after a number, a name only within a sentence.
+    A unit is a placeholder only after a number. A capitalised word is a name within a sentence;
+    after a break it is literal and may be a name too.
     """
     starts, ends, firsts = _parted(data, *word_spans(data, offsets))
     hashes = Sums(data).spans(starts, ends)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     words = [data[a:b].tobytes().decode() for a, b in zip(starts[first], ends[first])]
-    forms, kinds, stops = _kinds(words)
+    forms, kinds, parts, stops = _kinds(words)
     raw = [f.encode() for f in forms]
     edges = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     values = Sums(np.frombuffer(b"".join(raw), dtype=np.uint8)).spans(edges[:-1], edges[1:])[which]
     kind, stop = kinds[which], stops[which]
+    begins = parts[which]
     n = len(which)
     opens = np.zeros(n, dtype=bool)
     opens[firsts[:-1][np.diff(firsts) > 0]] = True
     before = np.zeros(n, dtype=np.int64)
     before[1:] = kind[:-1]
-    begins = opens.copy()
+    begins |= opens
     if n:
         breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
         begins[1:] |= stop[:-1] | (breaks[starts[1:]] > breaks[ends[:-1]])
@@ -151,7 +159,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         kind == NUMBER, True,
         np.where(kind == UNIT, (before == NUMBER) & ~opens, (kind == CAPITAL) & ~begins),
     )
-    return np.where(held, HOLDER[kind], values), values, held, firsts
+    return np.where(held, HOLDER[kind], values), values, held, (kind == CAPITAL) & begins, firsts
 
 
 def _among(wanted: np.ndarray):
@@ -174,12 +182,23 @@ def _among(wanted: np.ndarray):
 def _forms(data: np.ndarray, offsets: np.ndarray, widths: list[int]):
     """The words of a block, then (width, places, hashes, turned) of each form of its windows.
 
-    ``turned`` is None for plain words, else a row of placeholders for each window.
+    ``turned`` tells the placeholders of the window at a place; it is None for plain words.
     """
-    symbols, values, held, firsts = canonical(data, offsets)
+    symbols, values, held, either, firsts = canonical(data, offsets)
     doc = owners(firsts)
     templates, plain = Sums(symbols), Sums(values)
     literal = np.concatenate([[0], np.cumsum(~held)])
+    open_at = np.flatnonzero(either)
+    opened = np.concatenate([[0], np.cumsum(either)])
+    changes = templates.changes(open_at, np.full(len(open_at), HOLDER[CAPITAL]))
+
+    def placed(width: int, names: list[int]):
+        def run(a: int) -> np.ndarray:
+            flags = held[a : a + width].copy()
+            flags[open_at[opened[a] + np.array(names, dtype=np.int64)] - a] = True
+            return flags
+
+        return run
 
     def each():
         for width in widths:
@@ -188,8 +207,21 @@ def _forms(data: np.ndarray, offsets: np.ndarray, widths: list[int]):
                 continue
             whole = doc[:n] == doc[width - 1 :]
             literals = literal[width:] - literal[:-width]
-            at = np.flatnonzero(whole & (literals >= min(LITERALS, -(-width // 2))))
-            yield width, at, templates.windows(width)[at], lambda a, w=width: held[a : a + w]
+            least = min(LITERALS, -(-width // 2))
+            at = np.flatnonzero(whole & (literals >= least))
+            yield width, at, templates.windows(width)[at], placed(width, [])
+            free = opened[width:] - opened[:-width]
+            # every choice of names among the first, second, ... open word of the windows
+            for choice in range(1, 1 << min(int(free[at].max(initial=0)), width)):
+                names = [j for j in range(choice.bit_length()) if choice >> j & 1]
+                if len(names) > width - least:
+                    continue
+                if len(names) == 1:
+                    at = at[free[at] >= choice.bit_length()]
+                some = at[literals[at] - len(names) >= least]
+                if len(some):
+                    change = sum(changes[opened[some] + j] for j in names)
+                    yield width, some, templates.windows_at(some, width, change), placed(width, names)
             at = np.flatnonzero(whole & (literals < width))
             yield width, at, plain.windows(width)[at], None
 

@@ -63,6 +63,16 @@ class Sums:
         gap = self.total[width:] - self.total[:n]
         return mixed(gap * self.inverse[:n] + np.uint64(width))
 
+    def changes(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the sums over the places ``at`` change by if other symbols stand there."""
+        power, _ = _power_tables(len(self.total))
+        return (symbols.astype(np.uint64) + np.uint64(1)) * power[at] - (self.total[at + 1] - self.total[at])
+
+    def windows_at(self, lo: np.ndarray, width: int, change: np.ndarray) -> np.ndarray:
+        """Hashes of the windows from ``lo`` on with their sums changed."""
+        gap = self.total[lo + width] - self.total[lo] + change
+        return mixed(gap * self.inverse[lo] + np.uint64(width))
+
 
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive documents; null counts as empty."""
