@@ -200,6 +200,20 @@ def test_crowded_parts_are_cut(spark, monkeypatch):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_pieces_are_runs_in_order(spark, monkeypatch):
+    rows = [(i % 2 or None, None if i % 5 == 0 else i % 3, "a" if i % 2 else "b", f"t{i // 4:03}", "", "") for i in range(300)]
+    df = spark.createDataFrame(rows, TURNS).repartition(7)
+    whole = {(r.conv_id, r.speaker, r.part): r.text for r in chat.rotate_perspectives(df).collect()}
+    monkeypatch.setattr(chat, "PART_ROWS", 10)
+    pieces = {}
+    for r in sorted(chat.rotate_perspectives(df).collect(), key=lambda r: r.piece):
+        pieces.setdefault((r.conv_id, r.speaker, r.part), []).append(r)
+    assert {k: "".join(r.text for r in v) for k, v in pieces.items()} == whole
+    assert all(r.n_turns == 10 for v in pieces.values() for r in v[:-1])
+    assert all([r.piece for r in v] == list(range(len(v))) for v in pieces.values())
+    assert max(map(len, pieces.values())) > 3
+
+
 # --- 5: mixing
 
 def test_targets_and_copies(spark):

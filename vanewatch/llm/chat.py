@@ -6,7 +6,8 @@ speaker says is trained on. System turns set the scene in every rendering; they
 
 A dialogue is rendered in parts of ``PART_TURNS`` turn numbers, so a conversation of any length
 spreads over tasks. Should turn numbers repeat so often that a part still grows past
-``PART_ROWS`` rows, it is cut into pieces by the hash of their text.
+``PART_ROWS`` rows, it is cut into pieces: runs of that many turns in the order of the dialogue. The
+turns of such parts are dealt out by ranges of that order and numbered range by range.
 
 Defined results: turns are ordered by number, nulls last, then role, then text; a null text is
 empty; a null or blank role is a user called ``unknown`` and no participant; turns without a
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vanewatch.llm.common import stored
 from vanewatch.operators.joins import broadcast_within
+from vanewatch.operators.ranking import numbered
 
 PART_TURNS = 256
 PART_ROWS = 2048
@@ -39,6 +42,18 @@ def _head(role: Column, speaker: Column, system: tuple[str, ...]) -> Column:
     return F.concat(F.lit(START), name, F.lit("\n"))
 
 
+def _runs(crowded: DataFrame) -> DataFrame:
+    """``crowded`` with its piece: the number of a run of ``PART_ROWS`` turns in order."""
+    order = [F.col("turn").isNull(), "turn", F.col("role").isNull(), "role", "text"]
+    # equal turns may go anywhere, so a salt parts them
+    dealt = crowded.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(
+        "conv_id", "part", *order, "_salt"
+    )
+    ranged = stored(dealt.drop("_salt").withColumn("_range", F.spark_partition_id()), "crowded-turns")
+    ranked = numbered(ranged, ["conv_id", "part"], F.col("_range"), order, "_at")
+    return ranked.withColumn("piece", F.floor((F.col("_at") - 1) / PART_ROWS)).drop("_range", "_at")
+
+
 def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """One row per conversation, speaker and part.
 
@@ -51,22 +66,17 @@ def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> D
         F.when(~blank, F.col("role")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    crowded = broadcast_within(
+    crowded = stored(
         rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > PART_ROWS)
-        .select(
-            F.col("conv_id").alias("_conv"), F.col("part").alias("_part"),
-            F.ceil(F.col("_n") / PART_ROWS).alias("_pieces"),
-        )
-    )
-    cut = rows.join(
-        crowded,
-        F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part")),
-        "left",
-    ).withColumn(
-        "piece",
-        F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("_pieces")), F.lit(0)),
+        .select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")),
+        "crowded-parts",
     )
+    cut = rows.withColumn("piece", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))
+        crowded = broadcast_within(crowded)
+        cut = cut.join(crowded, same, "left_anti").unionByName(_runs(rows.join(crowded, same, "left_semi")))
     order = F.struct(
         F.col("turn").isNull().alias("late"), "turn", F.col("role").isNull().alias("nameless"),
         "role", "text",
