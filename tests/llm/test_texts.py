@@ -281,6 +281,21 @@ def test_article_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content no-sidebar has-ads'><article><p>The whole story is here.</article></div>", "The whole story is here."),
+    ("<div class='sidebar-layout'><p>The whole story is here.</div><div class='ad'>Buy</div>", "The whole story is here."),
+    ("<div id='social'><main><p>The whole story is here.</main></div><div class='comments'><article class='comment'>No, it is not here at all I say</article></div>",
+     "The whole story is here."),
+    ("<head><title>T</title><body><article>The whole story is here.</article>", "The whole story is here."),
+    ("<head><meta charset=x><title>T</title><p>The whole story is here.", "The whole story is here."),
+    ("<body><p class='notice'>Note<p>First one<p>Second one", "First one\nSecond one"),
+    ("<body><p title='a class=ad here' data-hidden=x>The whole story is here.", "The whole story is here."),
+    ("<body><p>The whole story is here.<div hidden>not</div><div class=ad>Buy</div>", "The whole story is here."),
+])
+def test_wrappers_and_open_tags_keep_the_article(page, want):
+    assert html.main_text(page, {}) == want
+
+
 def test_best_run_is_the_maximum():
     costs = {"p": 2.0, "td": 3.0}
     rng = random.Random(6)

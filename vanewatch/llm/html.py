@@ -4,7 +4,9 @@ A page is read as a line of tokens. Words score positive, tags negative; the mai
 contiguous run with the largest sum, found in one scan. How much a tag costs is learned: pages
 that mark their content with ``article`` or ``main`` serve as labelled pages, and a tag costs the
 more the more often it stands outside the marked content. Elements that are never content
-(scripts, menus, forms, adverts, comments and the like) are left out, also inside the run.
+(scripts, menus, forms, adverts, comments and the like) are left out, also inside the run. An element
+told by its class or id only stays if it wraps the article: if it holds ``article`` or ``main``, or,
+on a page without these, most of the page's words.
 
 Weights come from at most ``SAMPLE_PAGES`` labelled pages, chosen by hash; every page is
 extracted whole, in its own task, without a shuffle.
@@ -38,6 +40,10 @@ INLINE = frozenset(
     "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: All that may stand in a head; anything else ends it.
+IN_HEAD = VOID | RAW
+#: Words after these in one class name say what the element is or is not beside.
+BESIDE = frozenset("has have no non not with without".split())
 #: Words in a class or id, and roles, that mark an element as something other than the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment "
@@ -55,41 +61,83 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 PART = re.compile(r"[a-z]+")
 
 
 def _aside(name: str, rest: str) -> bool:
-    """Is this element something other than the article."""
+    """Is this element something other than the article, whatever it is called."""
     if name in DROPPED:
         return True
     if not rest or name in ("html", "body", "article", "main"):
         return False
-    for key, *values in NAMED.findall(rest):
+    for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()
         if key == "role" and value.strip() in ROLES:
             return True
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id") and not MARKS.isdisjoint(PART.findall(value)):
-            return True
     return False
 
 
+def _called_aside(rest: str) -> bool:
+    """Do class or id call this element something other than the article."""
+    for key, *values in ATTRIBUTE.findall(rest):
+        if key.lower() in ("class", "id"):
+            for called in "".join(values).lower().split():
+                parts = PART.findall(called)
+                if not MARKS.isdisjoint(parts) and BESIDE.isdisjoint(parts):
+                    return True
+    return False
+
+
+def _wrappers(page: str) -> set[int]:
+    """Where elements begin that are called aside but wrap the article."""
+    called: dict[int, list] = {}  # words, holds content, may hold it
+    total, content = 0, False
+    for kind, value, inside, around in _read(page, None):
+        if kind == "text":
+            n = len(value.split())
+            total += n
+            for at in around:
+                called[at][0] += n
+        elif kind == "called":
+            called[int(value)] = [0, False, not inside]
+        elif kind == "open" and value in CONTENT:
+            content = True
+        elif kind == "content":
+            for at in around:
+                called[at][1] = True
+    return {
+        at for at, (n, holds, may) in called.items() if may and (holds or not content and 2 * n > total)
+    }
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, value, inside marked content) for kinds ``text``, ``open`` and ``close``.
 
     What is never content is skipped with all it holds.
     """
+    for kind, value, inside, _ in _read(page, _wrappers(page)):
+        yield kind, value, inside
+
+
+def _read(page: str, spared: set[int] | None) -> Iterator[tuple[str, str, bool, tuple[int, ...]]]:
+    """``tokens``, without elements called aside that do not begin in ``spared``.
+
+    If that is None they are all read, and announced by the kind ``called``; ``content`` then stands
+    for an article that is not called aside. The last value holds the places of those around.
+    """
     stack: list[str] = []
     marked = 0
     skip = 0  # depth of the stack at which the skipped element sits
+    around: list[tuple[int, int]] = []  # depth and place of elements called aside
     at, size = 0, len(page)
     while at < size:
         found = TOKEN.search(page, at)
         until = found.start() if found else size
         if until > at and not skip:
-            yield "text", page[at:until], marked > 0
+            yield "text", page[at:until], marked > 0, tuple(p for _, p in around)
         if not found:
             break
         at = found.end()
@@ -102,18 +150,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 continue
             while True:
                 top = stack.pop()
+                while around and len(stack) < around[-1][0]:
+                    around.pop()
                 if top in CONTENT:
                     marked -= 1
                 if skip and len(stack) < skip:
                     skip = 0
                 elif not skip:
-                    yield "close", top, marked > 0 or top in CONTENT
+                    yield "close", top, marked > 0 or top in CONTENT, ()
                 if top == name:
                     break
             continue
+        if skip and stack[skip - 1] == "head" and name not in IN_HEAD:
+            del stack[skip - 1 :]
+            skip = 0
         if name in VOID or rest.endswith("/"):
             if not skip:
-                yield "open", name, marked > 0
+                yield "open", name, marked > 0, ()
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -121,14 +174,25 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         if stack and (stack[-1] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()
+            while around and len(stack) < around[-1][0]:
+                around.pop()
+            if len(stack) < skip:
+                skip = 0
+        inside = marked > 0
         if name in CONTENT:
             marked += 1
         stack.append(name)
         if not skip:
-            if _aside(name, rest):
+            called = bool(rest) and name not in ("html", "body") and _called_aside(rest)
+            if _aside(name, rest) or called and name not in CONTENT and spared is not None and found.start() not in spared:
                 skip = len(stack)
-            else:
-                yield "open", name, marked > 0
+                continue
+            if spared is None and name in CONTENT and not called:
+                yield "content", name, True, tuple(p for _, p in around)
+            elif spared is None and called and name not in CONTENT:
+                around.append((len(stack), found.start()))
+                yield "called", str(found.start()), inside, ()
+            yield "open", name, marked > 0, ()
 
 
 def tag_counts(page: str | None) -> dict[str, list[int]]:
