@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vanewatch.llm import (  # noqa: F401
     q_benchmark,
+    q_bpe,
     q_chat,
     q_html,
     q_language,
@@ -11,6 +12,7 @@ from vanewatch.llm import (  # noqa: F401
     q_mixing,
     q_quality,
     q_repeats,
+    q_resampling,
     q_signatures,
 )
 from vanewatch.llm.registry import QUERIES, SQL
