@@ -6,6 +6,7 @@ from vanewatch.llm import (  # noqa: F401
     q_benchmark,
     q_bpe,
     q_chat,
+    q_divergence,
     q_html,
     q_language,
     q_lines,
