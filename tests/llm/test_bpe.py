@@ -96,9 +96,10 @@ def test_blocks_number_their_words_across_pieces(monkeypatch):
     words, pieces = explode(monkeypatch, [["a b a", " b c"], ["a d"], ["a a a", None]], 14)
     held = [(b.column("block")[0].as_py(), [w.decode() for w in b.column("word").to_pylist()]) for b in words]
     assert held == [(3 << 32, ["a", " b", " a", " c", " d"]), ((3 << 32) + 1, ["a", " a"])]
-    places = [bpe._expanded(p.column("places")[0].as_py()).tolist() for p in pieces]
-    assert places == [[0, 1, 2, 1, 3], [0, 4], [0, 1, 1]]
-    assert pieces[2].column("counts").to_pylist() == [[3, 0]]
+    opened = [bpe._opened(p.column("data")[0].as_py()) for p in pieces]
+    assert [places.tolist() for _, places in opened] == [[0, 1, 2, 1, 3], [0, 4], [0, 1, 1]]
+    assert opened[2][0].column("n").to_pylist() == [3, 0]
+    assert [p.column("number")[0].as_py() for p in pieces] == [-2, -1, -1]
 
 
 def test_rows_that_do_not_fit_together_are_an_error(monkeypatch):
@@ -106,8 +107,8 @@ def test_rows_that_do_not_fit_together_are_an_error(monkeypatch):
 
     words, pieces = explode(monkeypatch, [["a b c"]], 1 << 20)
     ids = pa.array([b"\1", b"\2"], pa.binary())
-    short = pa.table({"block": words[0].column("block")[:2], "number": words[0].column("number")[:2], "ids": ids})
-    table = pa.concat_tables([short, pa.Table.from_batches(pieces)], promote_options="default")
+    short = pa.table({"block": words[0].column("block")[:2], "number": words[0].column("number")[:2], "data": ids})
+    table = pa.concat_tables([short, pa.Table.from_batches(pieces)])
     with pytest.raises(RuntimeError):
         bpe._assemble(table)
 

@@ -42,7 +42,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 BLOCK = 48 * 1024 * 1024
 
 WORDS = "block long, number int, word binary"
-PIECES = "block long, number int, docs array<long>, counts array<long>, places binary"
+ROWS = "block long, number int, data binary"
 IDS = "doc_id long, ids binary"
 
 
@@ -130,13 +130,14 @@ class Numbering:
         """The number of each word of a piece; new words are added."""
         hashes, sizes = Sums(data).spans(starts, ends), ends - starts
         order, heads = ragged.groups(hashes)
-        keys = hashes[order[heads]]
+        first = np.minimum.reduceat(order, heads) if len(order) else order
+        keys = hashes[first]
         at = np.minimum(np.searchsorted(self.hashes, keys), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
-        by_first = np.sort(order[heads[~known]])
+        by_first = np.sort(first[~known])
         number = np.zeros(len(starts), dtype=np.int64)
         number[by_first] = self._add(data, starts[by_first], sizes[by_first])
-        found = np.where(known, self.numbers[at] if len(self.hashes) else 0, number[order[heads]])
+        found = np.where(known, self.numbers[at] if len(self.hashes) else 0, number[first])
         number[order] = np.repeat(found, np.diff(np.append(heads, len(order))))
         where = np.searchsorted(self.hashes, keys[~known])
         self.hashes = np.insert(self.hashes, where, keys[~known])
@@ -152,8 +153,8 @@ class Numbering:
         return ragged.binaries(self.data, self.sizes)
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Numbering, list]]:
-    """(block, its words, its pieces) of a task; a piece is (ids, pre-tokens of each, their numbers)."""
+def _explode(batches: Iterator[pa.RecordBatch], with_pieces: bool) -> Iterator[tuple[int, Numbering, list[bytes]]]:
+    """(block, its words, its pieces) of a task; a piece is the places of some whole documents."""
     count, size = 0, 0
     numbering, pieces = Numbering(), []
     for batch in batches:
@@ -166,25 +167,34 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Numbering
                 yield (part << 32) + count, numbering, pieces
                 numbering, pieces, size, count = Numbering(), [], 0, count + 1
             starts, ends, firsts = words_of(data, offsets)
-            pieces.append((ids[rows.start : rows.stop], np.diff(firsts), _squeezed(numbering.of(data, starts, ends))))
+            numbers = numbering.of(data, starts, ends)
+            held = ids[rows.start : rows.stop].cast(pa.int64())
+            pieces.append(_piece(held, np.diff(firsts), numbers) if with_pieces else b"")
             size += len(data)
     if pieces:
         yield (part << 32) + count, numbering, pieces
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
+DOCS = pa.schema({"doc_id": pa.int64(), "n": pa.int64()})
+
+
+def _piece(ids: pa.Array, counts: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Documents, how many pre-tokens each has, and the number of each pre-token's word."""
+    docs = pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64))], schema=DOCS).serialize().to_pybytes()
     raw = ragged.packed(numbers)[0].tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    places = pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    return b"".join([len(docs).to_bytes(8, "little"), len(raw).to_bytes(8, "little"), docs, places])
 
 
-def _expanded(squeezed: bytes) -> np.ndarray:
-    size = int.from_bytes(squeezed[:8], "little")
-    raw = pa.Codec("zstd").decompress(squeezed[8:], size, asbytes=True) if size else b""
-    return ragged.unpacked(np.frombuffer(raw, dtype=np.uint8))
+def _opened(piece: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    size, raw = int.from_bytes(piece[:8], "little"), int.from_bytes(piece[8:16], "little")
+    docs = pa.ipc.read_record_batch(pa.py_buffer(piece[16 : 16 + size]), DOCS)
+    places = pa.Codec("zstd").decompress(piece[16 + size :], raw, asbytes=True)
+    return docs, ragged.unpacked(np.frombuffer(places, dtype=np.uint8))
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, numbering, _ in _explode(batches):
+    for block, numbering, _ in _explode(batches, False):
         n = len(numbering.sizes)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), numbering.words()],
@@ -193,14 +203,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema({
-        "block": pa.int64(), "number": pa.int32(), "docs": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()),
-        "places": pa.binary(),
-    })
-    for block, _, pieces in _explode(batches):
-        for number, (docs, counts, places) in enumerate(pieces):
-            row = [[block], [number], [docs.to_pylist()], [counts.tolist()], [places]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types)], schema=schema)
+    """One row per piece; its number is negative, so that it goes before the words."""
+    for block, _, pieces in _explode(batches, True):
+        for k, piece in enumerate(pieces):
+            row = [pa.array([block]), pa.array([k - len(pieces)], pa.int32()), pa.array([piece], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "number", "data"])
 
 
 @lru_cache(2)
@@ -219,43 +226,60 @@ def _encode(vocabulary: bytes):
     """Ids of word rows sorted by word; equal words, one after the other, are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, coded = _encoder(vocabulary), None, b""
+        encoder, last = _encoder(vocabulary), None
+        coded = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, coded = word, ragged.packed(np.array(encoder.encode_ordinary(word.decode())))[0].tobytes()
-                ids.append(coded)
+            if batch.num_rows == 0:
+                continue
+            words = batch.column("word")
+            fresh = np.ones(len(words), dtype=bool)
+            fresh[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            fresh[0] = words[0].as_py() != last
+            distinct = words.filter(pa.array(fresh)).to_pylist()
+            found = [coded, *(encoder.encode_ordinary(w.decode()) for w in distinct)]
+            sizes = np.array([len(x) for x in found])
+            raw, width = ragged.packed(np.concatenate(found))
+            heads = np.cumsum(sizes) - sizes
+            total = np.concatenate([[0], np.cumsum(width)])
+            lo, size = total[heads], total[heads + sizes] - total[heads]
+            which = np.cumsum(fresh)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("number"), pa.array(ids, pa.binary())], ["block", "number", "ids"]
+                [
+                    batch.column("block"), batch.column("number"),
+                    ragged.binaries(ragged.gather(raw, lo[which], size[which]), size[which]),
+                ],
+                ["block", "number", "data"],
             )
+            last, coded = words[-1].as_py(), np.array(found[-1], dtype=np.int64)
 
     return run
 
 
 def _assemble(block: pa.Table) -> pa.Table:
     """The ids of each document of one block, from its words' ids and its pieces."""
-    is_word = pc.is_valid(block.column("ids"))
-    words, pieces = block.filter(is_word), block.filter(pc.invert(is_word)).sort_by("number")
-    words = words.sort_by("number")
-    ids, widths = ragged.contents(pa.concat_arrays([*words.column("ids").chunks, pa.array([], pa.binary())]))
+    block = block.sort_by("number")
+    data = pa.concat_arrays([*block.column("data").chunks, pa.array([], pa.binary())])
+    n_pieces = int(pc.sum(pc.less(block.column("number"), 0)).as_py() or 0)
+    ids, widths = ragged.contents(data[n_pieces:])
     # from bytes to ids, word by word
-    per_word = np.add.reduceat(ids < 128, np.cumsum(widths) - widths) if len(widths) else widths
+    per_word = np.add.reduceat(ids < 128, np.cumsum(widths) - widths, dtype=np.int64) if len(widths) else widths
     ids = ragged.unpacked(ids).astype("<u4")
     lo = np.cumsum(per_word) - per_word
-    if not (words.column("number").to_numpy() == np.arange(len(lo))).all():
-        raise RuntimeError("the words of a block do not match its places: documents were read in another order")
+    whole = np.array_equal(block.column("number").to_numpy(), np.arange(-n_pieces, len(lo)))
     docs, tokens = [], []
-    for piece in pieces.to_pylist():
-        of = _expanded(piece["places"])
-        ends = np.cumsum(np.array(piece["counts"], dtype=np.int64))
-        if len(of) != (ends[-1] if len(ends) else 0) or (len(of) and of.max() >= len(lo)):
-            raise RuntimeError("the words of a block do not match its places: documents were read in another order")
+    for piece in data[:n_pieces]:
+        held, of = _opened(piece.as_py())
+        ends = np.cumsum(held.column("n").to_numpy())
+        whole = whole and len(of) == (ends[-1] if len(ends) else 0) and (len(of) == 0 or of.max() < len(lo))
+        if not whole:
+            break
         upto = np.concatenate([[0], np.cumsum(per_word[of])])[ends]
-        docs.append(pa.array(piece["docs"], pa.int64()))
+        docs.append(held.column("doc_id"))
         tokens.append(ragged.binaries(
             ragged.gather(ids, lo[of], per_word[of]).view(np.uint8), 4 * np.diff(upto, prepend=0)
         ))
+    if not whole or not n_pieces:
+        raise RuntimeError("the words of a block do not match its places: documents were read in another order")
     return pa.table({"doc_id": pa.chunked_array(docs, pa.int64()), "ids": pa.chunked_array(tokens, pa.binary())})
 
 
@@ -274,10 +298,9 @@ def encode(docs: DataFrame, path: str, is_table: bool = False) -> DataFrame:
     narrow = (narrow if is_table else stored(narrow, "texts")).withColumn("part", F.spark_partition_id())
     coded = (
         narrow.mapInArrow(_word_rows, WORDS).repartition("word").sortWithinPartitions("word")
-        .mapInArrow(_encode(vocabulary), "block long, number int, ids binary")
+        .mapInArrow(_encode(vocabulary), ROWS)
     )
-    pieces = narrow.mapInArrow(_piece_rows, PIECES)
-    rows = coded.unionByName(pieces, allowMissingColumns=True)
+    rows = coded.unionByName(narrow.mapInArrow(_piece_rows, ROWS))
     return rows.groupBy("block").applyInArrow(_assemble, IDS)
 
 
