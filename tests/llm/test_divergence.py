@@ -71,6 +71,7 @@ def test_small_bounds_change_nothing(spark, monkeypatch):
     """Several rounds of broadcasts, many shards, arrays handed on early, many blocks of slots."""
     monkeypatch.setattr(perfect_hash, "SHARD_KEYS", 16)
     monkeypatch.setattr(divergence, "CELLS", 150)
+    monkeypatch.setattr(divergence, "BLOCK_CELLS", 40)
     monkeypatch.setattr(divergence, "GATHERED", 50)
     rows = corpus(3)
     assert run(spark, rows, least_docs=8, broadcast_bytes=3000) == plain(rows, 8)
@@ -101,11 +102,12 @@ def test_perfect_hash_fills_every_slot(n):
     index = perfect_hash.Index([{
         "shard": 0, "displacements": moves.astype(np.int32).tobytes(), "key_sizes": sizes[order].astype(np.int32).tobytes(),
         "keys": ragged.gather(data, lo[order], sizes[order]).tobytes(),
-    }], 1, 0)
+    }], 1)
     assert [index.keys[a : a + s].tobytes() for a, s in zip(index.lo, index.sizes)] == [keys[k] for k in order]
-    assert (index.find(data, lo, lo + sizes) == slots).all()
+    assert (index.find(data, lo, lo + sizes, h) == slots).all()
     others = np.frombuffer(b"".join(k.replace(b"k", b"K") for k in keys), dtype=np.uint8)
-    assert (index.find(others, lo, lo + sizes) == -1).all()
+    assert (index.find(others, lo, lo + sizes, perfect_hash.hashes(others, lo, lo + sizes, 0)) == -1).all()
+    assert (index.find(others, lo, lo + sizes, h) == -1).all()
 
 
 def test_equal_hashes_are_noticed():

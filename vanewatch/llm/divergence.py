@@ -44,8 +44,9 @@ TERMS = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >
 
 #: Entries that a task gathers before it hands them on.
 GATHERED = 300_000
-#: Cells of a dense array or block.
+#: Cells of the dense arrays of a task, and of a block of sources x slots.
 CELLS = 2_000_000
+BLOCK_CELLS = 1 << 16
 
 SHARDS = "lang string, shard int, displacements binary, key_sizes binary, keys binary, clash boolean"
 
@@ -151,7 +152,7 @@ def _recount(shared, seed: int):
         by_lang: dict[str, list] = {}
         for row in shared.value:
             by_lang.setdefault(row["lang"], []).append(row)
-        indexes = {lang: perfect_hash.Index(rows, rows[0]["n_shards"], seed) for lang, rows in by_lang.items()}
+        indexes = {lang: perfect_hash.Index(rows, rows[0]["n_shards"]) for lang, rows in by_lang.items()}
         dense: dict[tuple[str, str], np.ndarray] = {}
         cells = 0
         for batch in batches:
@@ -163,19 +164,25 @@ def _recount(shared, seed: int):
             for rows, data, offsets in blocks(batch.column("text")):
                 data = TERMS[data]
                 starts, ends, firsts = word_spans(data, offsets)
-                for a, b, lang, source in _stretches(*(x[rows.start : rows.stop] for x in runs)):
-                    index = indexes.get(lang)
-                    if index is None:
+                h = perfect_hash.hashes(data, starts, ends, seed)
+                langs, sources = (x[rows.start : rows.stop] for x in runs)
+                place = np.full(len(starts), -1, dtype=np.int64)
+                for a, b, lang, _ in _stretches(langs, langs):
+                    if lang in indexes:
+                        own = slice(firsts[a], firsts[b])
+                        place[own] = indexes[lang].find(data, starts[own], ends[own], h[own])
+                for a, b, lang, source in _stretches(langs, sources):
+                    if lang not in indexes:
                         continue
+                    size = len(indexes[lang])
                     if (lang, source) not in dense:
-                        if cells + len(index) > CELLS and dense:
+                        if cells + size > CELLS and dense:
                             yield from _handed_on(dense, indexes)
                             dense, cells = {}, 0
-                        dense[lang, source] = np.zeros(len(index), dtype=np.int64)
-                        cells += len(index)
-                    mine = slice(firsts[a], firsts[b])
-                    place = index.find(data, starts[mine], ends[mine])
-                    np.add.at(dense[lang, source], place[place >= 0], 1)
+                        dense[lang, source] = np.zeros(size, dtype=np.int64)
+                        cells += size
+                    own = place[firsts[a] : firsts[b]]
+                    np.add.at(dense[lang, source], own[own >= 0], 1)
         yield from _handed_on(dense, indexes)
 
     return run
@@ -299,7 +306,7 @@ def audit(
 
 def _pairs(shares: DataFrame, figures: DataFrame) -> DataFrame:
     langs = figures.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.max("vocabulary").alias("terms"))
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("terms") * F.col("sources") / CELLS)).cast("int")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("terms") * F.col("sources") / BLOCK_CELLS)).cast("int")
     langs = broadcast_within(langs.select("lang", n_blocks.alias("n_blocks")))
     none = F.when(F.col("vocabulary") > 0, _share(F.lit(0))).otherwise(F.lit(0))
     bases = figures.join(langs, "lang").select(

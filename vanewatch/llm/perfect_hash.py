@@ -69,10 +69,10 @@ def build(h: np.ndarray) -> np.ndarray | None:
 class Index:
     """Some shards of one key set, end to end; slots are numbered through all of them."""
 
-    def __init__(self, shards: Iterable[dict], n_shards: int, seed: int):
+    def __init__(self, shards: Iterable[dict], n_shards: int):
         """``shards`` have shard, displacements, key_sizes (both int32 bytes) and keys, in order of slots."""
         shards = sorted(shards, key=lambda s: s["shard"])
-        self.n_shards, self.seed = n_shards, seed
+        self.n_shards = n_shards
         number = np.array([s["shard"] for s in shards], dtype=np.int64)
         moves = [np.frombuffer(s["displacements"], dtype=np.int32).astype(np.int64) for s in shards]
         sizes = [np.frombuffer(s["key_sizes"], dtype=np.int32).astype(np.int64) for s in shards]
@@ -90,9 +90,8 @@ class Index:
     def __len__(self) -> int:
         return len(self.sizes)
 
-    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Place of each stretch of ``data``, -1 for those that are no key."""
-        h = hashes(data, starts, ends, self.seed)
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Place of each stretch of ``data`` with the hash ``h``, -1 for those that are no key."""
         shard = (h % np.uint64(self.n_shards)).astype(np.int64)
         out = np.full(len(h), -1, dtype=np.int64)
         at = np.flatnonzero(self.count[shard] > 0)
