@@ -29,7 +29,7 @@ from vanewatch.operators.joins import broadcast_within
 from vanewatch.plans import training
 from vanewatch.schemas import ALERT_CONFIG, FAULT_EVENTS, RUL_LABELS
 from vanewatch.sources import files, tables
-from vanewatch.streaming.ingest import ingest_evolving, stored_schema, upsert_silver
+from vanewatch.streaming.ingest import ingest_evolving, stored_schema, table_schema, upsert_silver
 from vanewatch.streaming.state import upsert_keyed
 
 
@@ -52,7 +52,10 @@ class Fleet:
         return "/".join([self.lake.rstrip("/"), *parts])
 
     def read(self, *parts: str, schema: str | None = None) -> DataFrame | None:
-        return tables.read_table(self.spark, self.path(*parts), schema, merge=True)
+        path = self.path(*parts)
+        if tables.exists(self.spark, tables.schema_path(path)):
+            return tables.read_evolving(self.spark, path)
+        return tables.read_table(self.spark, path, schema, merge=True)
 
     def events(self, farm: str) -> DataFrame:
         raw = files.scan_event_info(self.spark, f"{self.landing}/farm={farm}/event_info/*.csv")
@@ -75,8 +78,7 @@ def silver(fleet: Fleet, farm: str) -> None:
     known = stored_schema(fleet.spark, fleet.path("schemas", farm))
     if known is None:
         return
-    lineage = [("_source_file", T.StringType()), ("_ingested_at", T.TimestampType()), ("farm", T.StringType())]
-    schema = T.StructType([*known.fields, *[T.StructField(n, t) for n, t in lineage]])
+    schema = T.StructType([f for f in table_schema(known) if f.name != "_batch"])
     events = fleet.events(farm).withColumn("file_event_id", F.col("event_id").try_cast("int"))
     upsert_silver(
         fleet.spark, fleet.path("bronze", farm), schema, events, fleet.path("silver", farm),

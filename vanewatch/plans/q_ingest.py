@@ -14,7 +14,7 @@ from vanewatch.plans.registry import query
 from vanewatch.schemas import FAULT_EVENTS
 from vanewatch.session import work_path
 from vanewatch.sources import files, landing, tables
-from vanewatch.streaming.ingest import ingest, ingest_evolving, raw_stream
+from vanewatch.streaming.ingest import ingest, ingest_evolving, raw_stream, read_bronze
 from vanewatch.streaming.state import upsert_keyed
 
 RAW_COLUMNS = ["time_stamp", "asset_id", "id", "train_test", "status_type_id", *fv.SENSORS]
@@ -124,6 +124,31 @@ def stream_schema_evolution(spark, sf_dir):
     )
 
 
+@query("stream_type_widening", sql("""
+    SELECT farm, asset_id, id, time_stamp, CASE WHEN train_test = 'prediction' THEN sensor_1_avg ELSE floor(sensor_1_avg) END AS sensor_1_avg,
+      CASE WHEN train_test = 'prediction' AND id % 50 = 0 THEN NULL ELSE status_type_id END AS status_type_id,
+      CASE WHEN train_test = 'prediction' AND id % 50 = 0 THEN '{"status_type_id":"off"}' END AS rescued
+    FROM scada""", "scada"))
+def stream_type_widening(spark, sf_dir):
+    """Whole numbers first, then fractions of the same sensor and some text among the states."""
+    rows = fv.scada(spark, sf_dir)
+    columns = ["time_stamp", "asset_id", "id", "status_type_id", "sensor_1_avg"]
+    whole = {"sensor_1_avg": F.floor("sensor_1_avg")}
+    text = {"status_type_id": F.when(F.col("id") % 50 == 0, "off").otherwise(F.col("status_type_id").cast("string"))}
+    root, out = work_path(spark, "landing"), work_path(spark, "bronze")
+    for wave, changed in (("train", whole), ("prediction", text)):
+        land(rows.where(F.col("train_test") == wave).select("farm", *columns).withColumns(changed), root)
+        for farm in FARMS:
+            ingest_evolving(
+                spark, root, farm, f"{out}/table-{farm}", f"{out}/schema-{farm}", f"{out}/checkpoint-{farm}"
+            )
+    found = cleaning.union_farms([read_bronze(spark, f"{out}/table-{f}", f"{out}/schema-{f}") for f in FARMS])
+    return cleaning.with_utc_clock(found).select(
+        "farm", "asset_id", "id", "time_stamp", F.col("sensor_1_avg").cast("double").alias("sensor_1_avg"),
+        "status_type_id", F.col("_rescued").alias("rescued"),
+    )
+
+
 @query("ref_csv_scan", sql("SELECT sensor_name, description, unit FROM descriptions", "descriptions"))
 def ref_csv_scan(spark, sf_dir):
     path = work_path(spark, "reference")

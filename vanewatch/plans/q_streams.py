@@ -39,6 +39,26 @@ def stream_late_upsert(spark, sf_dir):
         "farm", "asset_id", "id", "time_stamp", "event_id", "sensor_1_avg")
 
 
+@query("stream_retag", sql(
+    "SELECT farm, asset_id, id, time_stamp, event_id, event_label, event_description, sensor_1_avg FROM tagged", "tagged"))
+def stream_retag(spark, sf_dir):
+    """Readings stored under an older event table; a second run brings new events and no readings."""
+    root, rows, events = work_path(spark, "retag"), fv.scada(spark, sf_dir), fv.event_info(spark, sf_dir)
+    number = F.regexp_extract("event_id", "[0-9]+", 0).cast("long")
+    moved = F.col("event_end") + F.expr("INTERVAL 30 HOURS")
+    older = (
+        events.where(number % 3 != 0)
+        .withColumn("event_end", F.when(number % 5 == 0, moved).otherwise(F.col("event_end")))
+        .withColumn("event_label", F.when(number % 7 == 0, "normal").otherwise(F.col("event_label")))
+    )
+    raw = delivered(rows, "2024-02-01")
+    arriving(raw, f"{root}/raw")
+    for known in (older, events):
+        ingest.upsert_silver(spark, f"{root}/raw", raw.schema, known, f"{root}/silver", f"{root}/checkpoint")
+    return ingest.read_evolving(spark, f"{root}/silver").select(
+        "farm", "asset_id", "id", "time_stamp", *ingest.EVENT_COLUMNS, "sensor_1_avg")
+
+
 @query("stream_dedup", sql("SELECT farm, asset_id, time_stamp, sensor_1_avg FROM scada", "scada"))
 def stream_dedup(spark, sf_dir):
     """Every reading delivered twice."""

@@ -9,6 +9,9 @@ need a table format with snapshots.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from vanewatch.operators.joins import broadcast_within
 from vanewatch.operators.ranking import newest_per_key
+from vanewatch.streaming.lattice import joined, needs_rewrite
 
 
 def _path(spark: SparkSession, path: str):
@@ -34,6 +38,36 @@ def _remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema kept in a file of its own beside a table whose files differ."""
+    if not exists(spark, path):
+        return None
+    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    return T.StructType.fromJson(json.loads(text))
+
+
+def store_schema(spark: SparkSession, schema: T.StructType, path: str) -> None:
+    row = spark.createDataFrame([(schema.json(),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
+
+
+def schema_path(path: str) -> str:
+    return f"{path.rstrip('/')}_schema"
+
+
+def read_evolving(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table whose files differ, read by its stored schema; no footer is opened for it."""
+    known = stored_schema(spark, schema_path(path))
+    return read_table(spark, path, merge=True) if known is None else spark.read.schema(known).parquet(path)
+
+
+def wider(known: T.StructType, fresh: T.StructType) -> T.StructType:
+    """All columns of both; one that both have takes the type that holds both."""
+    old = {f.name: f.dataType for f in known}
+    types = {**old, **{f.name: joined(old.get(f.name), f.dataType) for f in fresh}}
+    return T.StructType([T.StructField(n, t) for n, t in types.items()])
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, merge: bool = False
 ) -> DataFrame | None:
@@ -72,6 +106,41 @@ def create_if_absent(df: DataFrame, path: str) -> None:
         overwrite(spark.createDataFrame([], df.schema), path)
 
 
+#: Partitions that are named in a predicate; more are found by a join.
+NAMED_PARTITIONS = 2000
+
+
+def in_partitions(df: DataFrame, touched: DataFrame, partitions: list[str]) -> DataFrame:
+    """Rows of the ``touched`` partitions, by literal predicates that prune the listing.
+
+    The list has one entry per partition that a write is about to replace, as the commit has.
+    """
+    named = touched.limit(NAMED_PARTITIONS + 1).collect()
+    if len(named) > NAMED_PARTITIONS:
+        return df.join(broadcast_within(touched), partitions, "left_semi")
+    *outer, inner = partitions
+    grouped: dict[tuple, list] = {}
+    for row in named:
+        grouped.setdefault(tuple(row[c] for c in outer), []).append(row[inner])
+    wanted = F.lit(False)
+    for values, last in grouped.items():
+        same = [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(outer, values)]
+        some = F.col(inner).isin([v for v in last if v is not None])
+        if None in last:
+            some = some | F.col(inner).isNull()
+        wanted = wanted | reduce(lambda a, b: a & b, same, some)
+    return df.where(wanted)
+
+
+def widen(spark: SparkSession, path: str, before: T.StructType, after: T.StructType, partitions: list[str]) -> None:
+    """Rewrite the partitions of a table in wider types, where readers cannot widen by themselves."""
+    if needs_rewrite(before, after):
+        known = {f.name for f in before}
+        old = spark.read.schema(before).parquet(path)
+        cast = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in after if f.name in known]
+        overwrite_partitions(old.select(*cast), path, partitions)
+
+
 def upsert(
     source: DataFrame,
     path: str,
@@ -83,19 +152,32 @@ def upsert(
     """Insert or replace rows by key, whole rows at a time; the newest row of a key stays.
 
     ``newest_first`` orders stored rows too, so its columns belong to the table. A late batch
-    with an older row leaves the stored one; of equally new rows the incoming one wins. Only partitions with incoming rows are read and rewritten. ``partitions`` must depend on
+    with an older row leaves the stored one; of equally new rows the incoming one wins. Only
+    partitions with incoming rows are listed, read and rewritten. ``partitions`` must depend on
     the key alone, so a row never moves between them. Until the job commits, a lost executor or
     a failed job leaves the table as it was.
-    ``evolving`` keeps columns that only some of the stored files have.
+    ``evolving`` keeps columns that only some of the stored files have, by a schema stored beside
+    the table.
     """
+    spark = source.sparkSession
     incoming = newest_per_key(source, keys, newest_first).persist(StorageLevel.MEMORY_AND_DISK)
-    existing = read_table(source.sparkSession, path, merge=evolving)
+    existing = read_evolving(spark, path) if evolving else read_table(spark, path)
+    if evolving:
+        before = existing.schema if existing is not None else T.StructType([])
+        after = wider(before, incoming.schema)
+        if existing is not None and after != before:
+            widen(spark, path, before, after, partitions)
+        if after != stored_schema(spark, schema_path(path)):
+            store_schema(spark, after, schema_path(path))
+        existing = None if existing is None else spark.read.schema(after).parquet(path)
     merged = incoming
     if existing is not None:
-        touched = broadcast_within(incoming.select(*partitions).distinct())
-        stored = existing.join(touched, partitions, "left_semi").withColumn("_fresh", F.lit(0))
+        touched = incoming.select(*partitions).distinct()
+        stored = in_partitions(existing, touched, partitions).withColumn("_fresh", F.lit(0))
         both = stored.unionByName(incoming.withColumn("_fresh", F.lit(1)), allowMissingColumns=True)
         merged = newest_per_key(both, keys, [*newest_first, F.desc("_fresh")]).drop("_fresh")
+    if evolving:
+        merged = merged.select(*[F.col(f"`{c}`").cast(after[c].dataType).alias(c) for c in merged.columns])
     overwrite_partitions(merged.hint("rebalance", *partitions), path, partitions)
     incoming.unpersist()
 
