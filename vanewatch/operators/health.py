@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanewatch.domain import FORECAST_DAYS, MIN_TREND_DAYS
 from vanewatch.functions.clock import day_of
+from vanewatch.operators.simplex import minimised
 
 ASSET = ["farm", "asset_id"]
 
@@ -137,6 +141,90 @@ def trend_fit(
     return best.select(*ASSET, "n_days", *fields, rmse.alias("fit_rmse"))
 
 
+#: Box of (alpha, beta, phi) of the optimiser; fixed values, the damping as in the grid above.
+TREND_LOW, TREND_HIGH = np.array([1e-4, 1e-4, 0.8]), np.array([0.9999, 0.9999, 0.98])
+TREND_STARTS = np.array(list(product((0.05, 0.2, 0.5, 0.8, 0.95), (0.01, 0.1, 0.3, 0.7), (0.8, 0.9, 0.98))))
+#: Errors have several minima; the simplex runs from so many of the best starts.
+TREND_RUNS = 5
+#: Series that one numpy batch holds.
+SERIES_BATCH = 500
+
+
+class _Series:
+    """Series of different lengths side by side; their errors under damped smoothing."""
+
+    def __init__(self, values: list):
+        self.lengths = np.array([len(v) for v in values])
+        self.data = np.zeros((max(self.lengths), len(values)))
+        for i, v in enumerate(values):
+            self.data[: len(v), i] = v
+
+    def solved(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sse, level, trend) at the end of each series, with the best start for its parameters.
+
+        The errors are linear in the level and trend before the first day, so their best values
+        follow from two-by-two normal equations. Three runs of the recursion give them: the data
+        from a zero start, and the two unit starts without data.
+        """
+        alpha, beta, phi = points.T
+        n = len(alpha)
+        level, trend = np.zeros((3, n)), np.zeros((3, n))
+        level[1], trend[2] = 1.0, 1.0
+        square = np.zeros((3, 3, n))
+        for t, row in enumerate(self.data):
+            open_ = t < self.lengths
+            x = np.zeros((3, n))
+            x[0] = row
+            expected = level + phi * trend
+            error = np.where(open_, x - expected, 0.0)
+            square += error[:, None] * error[None, :]
+            ahead = alpha * x + (1 - alpha) * expected
+            turn = beta * (ahead - level) + (1 - beta) * phi * trend
+            level, trend = np.where(open_, ahead, level), np.where(open_, turn, trend)
+        a, b, c = square[1, 1], square[1, 2], square[2, 2]
+        p, q = -square[0, 1], -square[0, 2]
+        det = a * c - b * b
+        safe = det > 1e-12 * np.maximum(a * c, 1e-300)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            l0 = np.where(safe, (c * p - b * q) / det, p / np.maximum(a, 1e-300))
+            b0 = np.where(safe, (a * q - b * p) / det, 0.0)
+        sse = square[0, 0] - 2 * (l0 * p + b0 * q) + l0 * l0 * a + 2 * l0 * b0 * b + b0 * b0 * c
+        mix = lambda s: s[0] + l0 * s[1] + b0 * s[2]
+        return np.maximum(sse, 0.0), mix(level), mix(trend)
+
+
+def _best_trends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for at in range(0, len(frame), SERIES_BATCH):
+            part = frame.iloc[at : at + SERIES_BATCH]
+            series = _Series(list(part["values"]))
+            loss = lambda points: series.solved(points)[0]  # noqa: B023, E731
+            tried = np.stack([loss(np.tile(s, (len(part), 1))) for s in TREND_STARTS])
+            ranked = np.argsort(tried, axis=0, kind="stable")
+            first, again = np.array([0.1, 0.1, 0.04]), np.array([0.02, 0.02, 0.01])
+            runs = [minimised(loss, TREND_STARTS[ranked[k]], first, TREND_LOW, TREND_HIGH, 80) for k in range(TREND_RUNS)]
+            best = np.argmin([r[1] for r in runs], axis=0)
+            point = np.stack([r[0] for r in runs])[best, np.arange(len(part))]
+            point, _ = minimised(loss, point, again, TREND_LOW, TREND_HIGH)
+            sse, level, trend = series.solved(point)
+            yield part.drop(columns="values").assign(
+                alpha=point[:, 0], beta=point[:, 1], phi=point[:, 2], level=level, trend=trend,
+                fit_rmse=np.sqrt(sse / part["n_days"].to_numpy()),
+            )
+
+
+def trend_optimum(arrays: DataFrame) -> DataFrame:
+    """Damped-trend parameters of least squared error, start level and start trend included.
+
+    Columns as of ``trend_fit``. Series are independent, so they are optimised where they lie,
+    some hundred side by side. The simplex starts from the best points of a coarse grid and once
+    more from its best result, so an error is never above the grid's.
+    """
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema if f.name != "values")
+    numbers = ", ".join(f"{n} double" for n in ("alpha", "beta", "phi", "level", "trend", "fit_rmse"))
+    return arrays.mapInPandas(_best_trends, f"{keys}, {numbers}")
+
+
 def trend_forecast(fits: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     """Values of the next ``days`` days: the trend's share fades by ``phi`` each day."""
     def value(h: Column) -> Column:

@@ -93,6 +93,20 @@ def trend_fit(spark, sf_dir):
     return rounded(fits(spark, sf_dir), ["level", "trend", "fit_rmse"])
 
 
+@query("trend_optimum", sql(f"""{FIT_SQL}
+    SELECT farm, asset_id, n_days, round(sqrt(sse / n_days), 6) AS grid_rmse, true AS no_worse, true AS inside FROM fits""",
+    "series", recursive=True))
+def trend_optimum(spark, sf_dir):
+    """The optimiser next to the grid: its error is never above the grid's, its parameters are in their box."""
+    series = health.health_series(day_features(spark, sf_dir), DAILY)
+    arrays = health.series_arrays(series, MIN_DAYS)
+    best = health.trend_optimum(arrays).select(*health.ASSET, "alpha", "beta", "phi", F.col("fit_rmse").alias("best"))
+    inside = F.col("alpha").between(0, 1) & F.col("beta").between(0, 1) & F.col("phi").between(0.8, 0.98)
+    return health.trend_fit(arrays).select(*health.ASSET, "n_days", "fit_rmse").join(best, health.ASSET).select(
+        *health.ASSET, "n_days", F.round("fit_rmse", 6).alias("grid_rmse"),
+        (F.col("best") <= F.col("fit_rmse") + 1e-9).alias("no_worse"), inside.alias("inside"))
+
+
 @query("trend_forecast", sql(f"""{FIT_SQL}
     SELECT farm, asset_id, h AS day_ahead, round(level + trend * p * (1 - pow(p, h)) / (1 - p), 6) AS value
     FROM fits, generate_series(1, 14) g(h)""", "series", recursive=True))

@@ -76,7 +76,7 @@ def train_component(
 
     daily = sensors.day_average_columns(features)
     series = health.health_series(features, daily)
-    trends = health.trend_forecast(health.trend_fit(health.series_arrays(series, min_days)))
+    trends = health.trend_forecast(health.trend_optimum(health.series_arrays(series, min_days)))
     last = trends.agg(F.avg("fit_rmse").alias("rmse"), F.avg(F.element_at("forecast", -1)).alias("day14"))
     reports.append(learning.metric_rows(
         last, component, "trend_forecaster", {"min_days": str(min_days)},
