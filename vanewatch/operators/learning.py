@@ -6,14 +6,13 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vanewatch.domain import MIN_QUANTILE_ROWS
+from vanewatch.operators import boosting
 from vanewatch.operators.ranking import first_share
 from vanewatch.session import cut_lineage
 
@@ -172,43 +171,35 @@ def assembled(df: DataFrame, columns: list[str], name: str = "features") -> Data
 
 @dataclass
 class FaultClassifier:
-    """One boosted tree model per class; probabilities are normalised over the classes."""
+    """Trees boosted for all classes together, with the medians that fill gaps when scoring."""
 
     classes: list[str]
-    models: list
+    model: boosting.Boosted | None
     medians: dict[str, float | None]
     columns: list[str]
+    losses: list[float] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = assembled(imputed(df, self.medians), self.columns)
-        scores = []
-        for i, model in enumerate(self.models):
-            out = model.copy({
-                model.rawPredictionCol: f"_raw{i}",
-                model.probabilityCol: f"_prob{i}",
-                model.predictionCol: f"_pred{i}",
-            }).transform(out)
-            scores.append(vector_to_array(f"_prob{i}")[1])
-        out = out.withColumn("_scores", F.array(*scores))
-        total = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
+        """Add ``class_probability``, in the order of ``classes``, and the likeliest class."""
+        filled = imputed(df, self.medians)
+        values = F.array(*[F.col(f"`{c}`").cast("double") for c in self.columns])
         names = F.array(*[F.lit(c) for c in self.classes])
-        best = F.array_position("_scores", F.array_max("_scores")).cast("int")
-        keep = [c for c in out.columns if not c.startswith(("_raw", "_prob", "_pred", "_scores"))]
-        return out.withColumn("class_probability", F.transform("_scores", lambda x: x / total)).withColumn(
+        best = F.array_position("class_probability", F.array_max("class_probability")).cast("int")
+        return filled.withColumn("class_probability", self.model.class_probability(values)).withColumn(
             "prediction", F.element_at(names, best)
-        ).select(*[c for c in keep if c != "features"], "class_probability", "prediction")
+        )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """One folder per class and a description; an older version there is replaced."""
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/class-{i}")
-        store_json(spark, {"classes": self.classes, "medians": self.medians, "columns": self.columns}, f"{path}/about")
+        """One description of the whole model; an older version there is replaced."""
+        about = {"classes": self.classes, "medians": self.medians, "columns": self.columns, "losses": self.losses,
+                 "model": self.model.to_json()}
+        store_json(spark, about, f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FaultClassifier:
         about = load_json(spark, f"{path}/about")
-        models = [GBTClassificationModel.load(f"{path}/class-{i}") for i in range(len(about["classes"]))]
-        return cls(about["classes"], models, about["medians"], about["columns"])
+        model = boosting.Boosted.from_json(about["model"])
+        return cls(about["classes"], model, about["medians"], about["columns"], about["losses"])
 
     def fault_probability(self) -> Column:
         """Probability of anything but healthy, to four digits."""
@@ -223,9 +214,13 @@ def fit_classifier(
     rounds: int = ROUNDS,
     learning_rate: float = LEARNING_RATE,
     depth: int = MAX_DEPTH,
+    patience: int = PATIENCE,
 ) -> tuple[FaultClassifier, DataFrame] | None:
     """Fit on the training part, stop early on the test part; None with fewer than two classes.
 
+    All classes are boosted together towards their joint log loss; fitting stops after
+    ``patience`` rounds in which the test part's loss did not fall, and goes back to its lowest.
+
     A column without any value in the training part is left out.
 
     Also returns the scored test part. Medians come from the training part only and are kept
@@ -239,20 +234,13 @@ def fit_classifier(
     columns = list(medians)
     if not columns:
         return None
-    data = assembled(imputed(flagged, medians), columns).select("features", "label", "is_test")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    models = []
-    for name in classes:
-        target = data.withColumn("_target", (F.col("label") == name).cast("double"))
-        models.append(
-            GBTClassifier(
-                labelCol="_target", maxIter=rounds, stepSize=learning_rate, maxDepth=depth,
-                minInstancesPerNode=MIN_ROWS_PER_LEAF, validationIndicatorCol="is_test", seed=SEED,
-            ).fit(target)
-        )
-    model = FaultClassifier(classes, models, medians, columns)
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
+    data = imputed(flagged, medians).withColumn("target", number.cast("int")).select(*columns, "target", "is_test")
+    boosted, losses = boosting.fit(
+        data, columns, len(classes), rounds, learning_rate, depth, MIN_ROWS_PER_LEAF, patience
+    )
+    model = FaultClassifier(classes, boosted, medians, columns, losses)
     scored = model.transform(flagged.where("is_test"))
-    data.unpersist()
     return model, scored
 
 

@@ -223,6 +223,28 @@ def fault_classifier(spark, sf_dir):
     return scored.select(*training.KEYS, "label", "prediction", model.fault_probability().alias("fault_probability"))
 
 
+@query("classifier_checks", sql("""
+    SELECT label, is_test, count(*) AS n_rows, true AS sums_to_one, true AS likeliest, true AS known_class FROM (
+      SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id))
+        <= (count(*) OVER (PARTITION BY label) * 20 + 99) // 100 AS is_test
+      FROM (SELECT id, CASE WHEN sensor_2_avg > 60 THEN 'high' WHEN sensor_1_avg > 50 THEN 'mid' ELSE 'healthy' END AS label FROM scada))
+    WHERE is_test GROUP BY ALL""", "scada"))
+def classifier_checks(spark, sf_dir):
+    """What every fitted classifier must hold on the rows it has not seen, counted per class."""
+    rows = fv.scada(spark, sf_dir).withColumn(
+        "label", F.when(F.col("sensor_2_avg") > 60, "high").when(F.col("sensor_1_avg") > 50, "mid").otherwise("healthy"))
+    columns = ["sensor_1_avg", "sensor_2_avg", "sensor_4_avg"]
+    model, scored = learning.fit_classifier(rows.select("id", "label", *columns), columns, ["id"], ROUNDS, depth=DEPTH)
+    p, names = F.col("class_probability"), F.array(*[F.lit(c) for c in model.classes])
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    at = F.array_position(names, F.col("prediction")).cast("int")
+    return scored.groupBy("label", "is_test").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.every((F.abs(total - 1) < 1e-9) & (F.array_min(p) >= 0)).alias("sums_to_one"),
+        F.every(F.element_at(p, at) == F.array_max(p)).alias("likeliest"),
+        F.every(at > 0).alias("known_class"))
+
+
 @query("rul_quantile")
 def rul_quantile(spark, sf_dir):
     """Held-out rows with their hours to failure and the three predicted quantiles."""
@@ -260,6 +282,6 @@ def training_report(spark, sf_dir):
 def fault_probability(spark, sf_dir):
     """One minus the healthy share of a class distribution, here made from the code."""
     healthy = F.col("sensor_2_avg") / 100
-    model = learning.FaultClassifier(["fault", "healthy"], [], {}, [])
+    model = learning.FaultClassifier(["fault", "healthy"], None, {}, [])
     rows = fv.scada(spark, sf_dir).select("id", F.array(1 - healthy, healthy).alias("class_probability"))
     return rows.select("id", model.fault_probability().alias("fault_probability"))
