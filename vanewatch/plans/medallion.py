@@ -11,7 +11,7 @@ Every job can be run again; bronze and silver only handle what is new.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,7 @@ from vanewatch.plans import training
 from vanewatch.schemas import ALERT_CONFIG, FAULT_EVENTS, RUL_LABELS
 from vanewatch.sources import files, tables
 from vanewatch.streaming.ingest import ingest_evolving, stored_schema, table_schema, upsert_silver
+from vanewatch.streaming.gold import isolated, refresh_health
 from vanewatch.streaming.state import upsert_keyed
 
 
@@ -176,21 +177,33 @@ def train(
     """Train and save the models of each component that has features, and keep the metrics."""
     events = fleet.read("fault_events", schema=FAULT_EVENTS)
     labels = fleet.read("rul_labels", schema=RUL_LABELS)
-    for component in fleet.components:
+
+    def one(component: str) -> None:
         table = fleet.read("features", component)
         if table is not None:
             models = training.train_component(table, events, labels, component, min_days, rounds, depth)
             models.save(fleet.spark, fleet.path("models", component))
             tables.overwrite(models.report, fleet.path("training_report", f"component={component}"))
 
+    return _apart(fleet, "train", one)
+
+
+def _apart(fleet: Fleet, job: str, work: Callable[[str], None]) -> DataFrame:
+    """``work`` for each component, isolated from the others; the stored outcome of each."""
+    outcomes = isolated(fleet.spark, job, fleet.components, work)
+    tables.overwrite(outcomes.drop("job"), fleet.path("outcomes", f"job={job}"))
+    return outcomes
+
 
-def predict(fleet: Fleet, as_of: Column) -> None:
-    """Score every turbine's latest features with the saved models.
+def predict(fleet: Fleet, as_of: Column) -> DataFrame:
+    """Score every turbine's latest features with the saved models; the outcome per component.
 
-    A component that lacks one of its models gets no predictions.
+    A component that lacks one of its models gets no predictions. One that fails leaves the
+    others' predictions and its own former ones.
     """
     ids = fleet.read("turbine_ids")
-    for component in fleet.components:
+
+    def one(component: str) -> None:
         table = fleet.read("features", component)
         saved = fleet.path("models", component)
         if table is not None and tables.exists(fleet.spark, saved):
@@ -198,6 +211,17 @@ def predict(fleet: Fleet, as_of: Column) -> None:
             scored = training.score(table, models, component, ids, as_of)
             tables.overwrite(scored.drop("component"), fleet.path("predictions", f"component={component}"))
 
+    return _apart(fleet, "predict", one)
+
+
+def health_index(fleet: Fleet, component: str) -> list[tuple]:
+    """Bring the component's gold health index up to date; the (farm, day) pairs that were due."""
+    path = fleet.path("features", component)
+    if not tables.exists(fleet.spark, path):
+        return []
+    table = fleet.spark.read.parquet(path)
+    return refresh_health(fleet.spark, table, sensors.day_average_columns(table), fleet.path("gold_health", component))
+
 
 def alerts(fleet: Fleet, as_of: Column, config: DataFrame | None = None) -> None:
     """Evaluate the latest predictions and keep the alerts by turbine and component."""
@@ -210,16 +234,17 @@ def alerts(fleet: Fleet, as_of: Column, config: DataFrame | None = None) -> None
     upsert_keyed(found, fleet.path("alerts"), ["id"], [F.col("createdAt").desc()])
 
 
-def run(fleet: Fleet, as_of: Column, **training_options: int) -> None:
-    """All jobs once."""
+def run(fleet: Fleet, as_of: Column, **training_options: int) -> DataFrame:
+    """All jobs once; returns how training and scoring of each component went."""
     for farm in fleet.farms:
         bronze(fleet, farm)
         silver(fleet, farm)
     for component in fleet.components:
         features(fleet, component)
+        health_index(fleet, component)
     fault_events(fleet)
     rul_labels(fleet)
     serving_readings(fleet)
-    train(fleet, **training_options)
-    predict(fleet, as_of)
+    outcomes = train(fleet, **training_options).unionByName(predict(fleet, as_of))
     alerts(fleet, as_of)
+    return outcomes

@@ -11,6 +11,9 @@ from vanewatch.plans import training
 from vanewatch.plans.fleet_view import sql
 from vanewatch.plans.q_rows import rounded
 from vanewatch.plans.registry import query
+from vanewatch.session import work_path
+from vanewatch.sources import tables
+from vanewatch.streaming import gold
 
 DAILY = [f"{s}_avg_24h" for s in fv.FEATURED]
 MIN_DAYS = 20  # the shared tables span thirty days, most assets miss a few
@@ -58,6 +61,24 @@ def health_daily(spark, sf_dir):
     return rounded(health.health_series(day_features(spark, sf_dir), DAILY), ["health"])
 
 
+@query("gold_health_index", sql("""
+    SELECT farm, asset_id, day, round(health, 6) AS health, day >= TIMESTAMP '2024-01-20' AND farm = 'B' AS rewritten FROM series""", "series"))
+def gold_health_index(spark, sf_dir):
+    """The stored index after a second run, in which the features of one farm's last days had changed."""
+    root = work_path(spark, "gold")
+    rows = day_features(spark, sf_dir).withColumn("day", F.to_date("time_stamp"))
+    late = (F.col("farm") == "B") & (F.col("day") >= F.lit("2024-01-20").cast("date"))
+    wrong = {c: F.when(late, F.col(c) * 3 + 7).otherwise(F.col(c)) for c in DAILY}
+    tables.overwrite_partitions(rows.withColumns(wrong), f"{root}/features", ["farm", "day"])
+    gold.refresh_health(spark, spark.read.parquet(f"{root}/features"), DAILY, root)
+    tables.overwrite_partitions(rows.where(late), f"{root}/features", ["farm", "day"])
+    again = gold.refresh_health(spark, spark.read.parquet(f"{root}/features"), DAILY, root)
+    found = spark.createDataFrame(again, "farm string, day date").select("farm", F.col("day").cast("timestamp").alias("day"))
+    stored = rounded(spark.read.parquet(f"{root}/health"), ["health"])
+    return stored.join(F.broadcast(found.withColumn("rewritten", F.lit(True))), ["farm", "day"], "left").select(
+        "farm", "asset_id", "day", "health", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
 @query("trend_candidates", sql(f"""
     SELECT farm, asset_id, count(*) AS n_days, count(health) AS n_present,
       CASE WHEN count(*) < {MIN_DAYS} THEN 'too few days' WHEN count(health) = 0 THEN 'no values' END AS skip_reason

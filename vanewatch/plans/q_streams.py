@@ -123,6 +123,30 @@ def scheduled_scoring(spark, sf_dir):
     return spark.read.parquet(f"{root}/alerts").select(*ALERT_COLUMNS)
 
 
+@query("scheduled_isolation", sql("""
+    SELECT component, component <> 'SMALL' AS ok, CASE WHEN component <> 'SMALL' THEN n_turbines ELSE 0 END AS n_predictions,
+      component = 'SMALL' AS has_error FROM (
+      SELECT component, count(DISTINCT "turbineId") AS n_turbines FROM predictions GROUP BY component)""", "predictions"))
+def scheduled_isolation(spark, sf_dir):
+    """One tick in which the scorer of one component fails; the others store their predictions."""
+    root, made = work_path(spark, "isolation"), fv.predictions(spark, sf_dir)
+    arriving(made, f"{root}/in")
+    names = sorted(r["component"] for r in made.select("component").distinct().collect())
+
+    def scorer(name):
+        def score(batch):
+            own = serving.latest_per(batch.where(F.col("component") == name), ["turbineId", "component"], "predicted_at")
+            return own.select("*", F.col("no_such_column")) if name == "SMALL" else own
+        return score
+
+    state.score_components_on_arrival(
+        watch(spark, f"{root}/in", made.schema), {n: scorer(n) for n in names},
+        fv.alert_config(spark, sf_dir), f"{root}/out", f"{root}/checkpoint")
+    kept = spark.read.parquet(f"{root}/out/predictions").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{root}/out/outcomes").join(kept, "component", "left").select(
+        "component", "ok", F.coalesce("n", F.lit(0)).alias("n_predictions"), F.col("error").isNotNull().alias("has_error"))
+
+
 @query("event_time_rollup", sql("""
     SELECT farm, asset_id, make_timestamp((k + j) * 21600 * 1000000) AS window_end, sum(n) AS n_rows,
       round(sum(s) / sum(n), 6) AS mean_value,

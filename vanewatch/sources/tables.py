@@ -218,6 +218,12 @@ def drop_expired(spark: SparkSession, path: str, day_column: str, days: int) ->
     return gone
 
 
+def drop_partition(spark: SparkSession, path: str) -> None:
+    """Delete one partition's folder, if it is there."""
+    if exists(spark, path):
+        _remove(spark, path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vanewatch.operators.alerting import evaluated
-from vanewatch.sources.tables import upsert
+from vanewatch.sources.tables import overwrite_partitions, read_table, upsert
+from vanewatch.streaming.gold import isolated
 from vanewatch.streaming.ingest import run_available
 
 KEY_PARTITIONS = 16
@@ -78,3 +79,44 @@ def score_on_arrival(
     if every is None:
         return run_available(writer, checkpoint)
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def score_components_on_arrival(
+    features: DataFrame,
+    scorers: dict[str, Callable[[DataFrame], DataFrame]],
+    config: DataFrame,
+    path: str,
+    checkpoint: str,
+    every: str | None = None,
+    workers: int = 4,
+):
+    """Score every component of what changed on its own and feed the predictions to the alerts.
+
+    Predictions are kept by component in ``{path}/predictions``; ``{path}/outcomes`` has a row per
+    component and batch. A component whose scorer fails keeps the predictions it had, raises no
+    alert for this batch, and does not hold up the others. ``every`` as in ``score_on_arrival``.
+    """
+    kept, alerts = f"{path}/predictions", f"{path}/alerts"
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = batch.persist()
+
+        def score(component: str) -> None:
+            scored = scorers[component](held).withColumns({"component": F.lit(component), "_batch": F.lit(batch_id)})
+            overwrite_partitions(scored, kept, ["component"])
+
+        outcomes = isolated(spark, "score", scorers, score, workers).withColumn("_batch", F.lit(batch_id)).persist()
+        overwrite_partitions(outcomes, f"{path}/outcomes", ["_batch"])
+        done = [r["component"] for r in outcomes.where("ok").select("component").collect()]
+        stored = read_table(spark, kept) if done else None
+        if stored is not None:
+            fresh = stored.where(F.col("component").isin(done) & (F.col("_batch") == batch_id)).drop("_batch")
+            upsert_keyed(evaluated(fresh, config, "predicted_at"), alerts, ["id"], [F.col("createdAt").desc()])
+        outcomes.unpersist()
+        held.unpersist()
+
+    writer = features.writeStream.foreachBatch(load)
+    if every is None:
+        return run_available(writer, checkpoint)
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
