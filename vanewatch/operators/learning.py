@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -32,63 +35,76 @@ def split_flag(df: DataFrame, keys: list[str], stratum: str = "label") -> DataFr
 
 
 def exact_medians(df: DataFrame, columns: list[str], margin: float = 2e-5) -> dict[str, float | None]:
-    """Exact medians of many columns without sorting any of them whole.
+    """Exact medians of many columns in two passes, without sorting or unpivoting any of them.
 
-    A quantile sketch brackets the middle; the ranks of the bracket's ends are counted; only
-    distinct values inside it are sorted. A bracket that missed the middle is replaced by the
-    whole range. What reaches the driver is one row per column and pass.
+    The first pass brackets every middle by mergeable quantile sketches, all columns in one
+    aggregate. The second counts, column by column inside a task, what lies below the bracket and
+    each distinct value in it; running counts over the few values inside give the median. A bracket
+    that missed its middle is replaced by the whole range in one more pass over that column. What
+    reaches the driver is one row per column and pass.
     """
     spark = df.sparkSession
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = numbers.unpivot([], columns, "name", "value").where(
-        F.col("value").isNotNull() & ~F.isnan("value")
-    )
-    edges = F.percentile_approx("value", [0.5 - margin, 0.5 + margin], int(2 / margin))
-    bounds = {
-        r["name"]: (r["edges"][0], r["edges"][1])
-        for r in long.groupBy("name").agg(edges.alias("edges")).collect()
-    }
+    numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = [0.5 - margin, 0.5 + margin]
+    found = numbers.agg(*[F.percentile_approx(c, ends, int(2 / margin)).alias(c) for c in numbers.columns]).first()
+    bounds = {i: tuple(found[f"c{i}"]) for i in range(len(columns)) if found[f"c{i}"]}
     medians: dict[str, float | None] = dict.fromkeys(columns)
     while bounds:
-        table = spark.createDataFrame(
-            [(n, lo, hi) for n, (lo, hi) in bounds.items()], "name string, low double, high double"
-        )
-        near = long.join(F.broadcast(table), "name")
-        ranks = near.groupBy("name").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("value") < F.col("low")).alias("below"),
-            F.count_if(F.col("value") <= F.col("high")).alias("upto"),
-        )
-        ranks = ranks.withColumn("first", F.floor((F.col("n") - 1) / 2)).withColumn(
-            "second", F.floor(F.col("n") / 2)
+        counted = (
+            numbers.select(*[f"c{i}" for i in bounds])
+            .mapInArrow(_bracket_counts(dict(bounds)), "name int, value double, n long, below long")
+            .groupBy("name", "value").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
         )
-        w = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        inside = (
-            near.where(F.col("value").between(F.col("low"), F.col("high")))
-            .groupBy("name", "value")
-            .agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn("through", F.sum("copies").over(w))
-            .join(F.broadcast(ranks), "name")
-            .withColumn("through", F.col("through") + F.col("below"))
+        upto = Window.partitionBy("name").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+        through = (
+            counted.withColumn("through", F.sum(F.when(F.col("value").isNull(), F.col("below")).otherwise(F.col("n"))).over(upto))
+            .withColumn("all", F.first("n").over(upto))  # the row of totals comes first
+            .where("value IS NOT NULL")
         )
-        holds = lambda rank: F.max(
-            F.when(
-                (F.col("through") > F.col(rank)) & (F.col("through") - F.col("copies") <= F.col(rank)),
-                F.col("value"),
-            )
+        rank = lambda k: F.floor((F.col("all") - F.lit(k)) / 2)
+        holds = lambda k: F.max(
+            F.when((F.col("through") > rank(k)) & (F.col("through") - F.col("n") <= rank(k)), F.col("value"))
         )
-        found = inside.groupBy("name").agg(
-            holds("first").alias("a"), holds("second").alias("b")
-        ).collect()
-        for r in found:
-            if r["a"] is not None and r["b"] is not None:
-                medians[r["name"]] = (r["a"] + r["b"]) / 2
-                del bounds[r["name"]]
+        rows = {r["name"]: r for r in through.groupBy("name").agg(holds(1).alias("a"), holds(0).alias("b")).collect()}
+        for i in list(bounds):
+            r = rows.get(i)
+            if r is not None and r["a"] is not None and r["b"] is not None:
+                medians[columns[i]] = (r["a"] + r["b"]) / 2
+                del bounds[i]
+            elif bounds[i] == (float("-inf"), float("inf")):
+                del bounds[i]
             else:
-                bounds[r["name"]] = (float("-inf"), float("inf"))
+                bounds[i] = (float("-inf"), float("inf"))
     return medians
 
 
+def _bracket_counts(bounds: dict[int, tuple[float, float]]):
+    """(name, value, n, below): copies of each value inside the bracket; value null for the totals.
+
+    The row of totals has the number of values as ``n`` and those under the bracket as ``below``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {i: [0, 0] for i in bounds}
+        for batch in batches:
+            for i, (low, high) in bounds.items():
+                values = batch.column(f"c{i}").drop_null().to_numpy()
+                total[i][0] += len(values)
+                total[i][1] += int((values < low).sum())
+                value, n = np.unique(values[(values >= low) & (values <= high)], return_counts=True)
+                yield _counted(np.full(len(value), i), pa.array(value), n, np.zeros(len(value)))
+        yield _counted(
+            np.array(list(total)), pa.nulls(len(total), pa.float64()), np.array([t[0] for t in total.values()]),
+            np.array([t[1] for t in total.values()]),
+        )
+
+    return run
+
+
+def _counted(name: np.ndarray, value: pa.Array, n: np.ndarray, below: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(name.astype(np.int32)), value, pa.array(n.astype(np.int64)), pa.array(below.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["name", "value", "n", "below"])
+
+
 def imputed(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """Fill NULL and NaN with the medians; a column without any value stays as it is."""
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +36,81 @@ def histogram(raw: DataFrame, sensors: list[str], bins: int = 40) -> DataFrame:
     )
 
 
+#: Columns on either side of a block of the matrices below.
+GRAM_BLOCK = 256
+GRAMS = "farm string, a int, b int, sums array<double>"
+
+
+def _grams(shifts: dict[str, list[float]], width: int):
+    """(farm, a, b, sums): six sums over the rows where both of two columns are present.
+
+    For each farm and pair of column blocks these are products of matrices; the six sums of a
+    block (n, x, y, xx, yy, xy) lie end to end. Values are taken as distances from ``shifts``.
+    """
+    blocks = [(i, min(i + GRAM_BLOCK, width)) for i in range(0, width, GRAM_BLOCK)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            farms = np.array(batch.column("farm").to_pylist(), dtype=object)
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1) if batch.num_rows else None
+            for farm in {f for f in farms if f in shifts}:
+                values = table[farms == farm] - np.array(shifts[farm])
+                held = np.isfinite(values)
+                x, held = np.where(held, values, 0.0), held.astype(float)
+                for a, (lo, hi) in enumerate(blocks):
+                    for b, (start, stop) in enumerate(blocks[a:], start=a):
+                        p, q, u, v = x[:, lo:hi], x[:, start:stop], held[:, lo:hi], held[:, start:stop]
+                        part = np.stack([u.T @ v, p.T @ v, u.T @ q, (p * p).T @ v, u.T @ (q * q), p.T @ q])
+                        sums[farm, a, b] = sums.get((farm, a, b), 0.0) + part
+        for (farm, a, b), part in sums.items():
+            row = [[farm], [a], [b], [part.ravel()]]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["farm", "a", "b", "sums"])
+
+    return run
+
+
+def _correlations(width: int):
+    """(farm, i, j, corr) of the pairs of one block, from its partial sums."""
+
+    def run(partials: pa.Table) -> pa.Table:
+        farm, a, b = (partials.column(c)[0].as_py() for c in ("farm", "a", "b"))
+        total = sum(np.asarray(x.values) for x in partials.column("sums"))
+        rows, columns = (min(GRAM_BLOCK, width - k * GRAM_BLOCK) for k in (a, b))
+        n, x, y, xx, yy, xy = total.reshape(6, rows, columns)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.sqrt((xx - x * x / n) * (yy - y * y / n))
+            corr = np.where((n > 1) & (spread > 0), (xy - x * y / n) / spread, np.nan)
+        i, j = np.meshgrid(np.arange(rows) + a * GRAM_BLOCK, np.arange(columns) + b * GRAM_BLOCK, indexing="ij")
+        upper = i < j
+        return pa.table({
+            "farm": pa.array([farm] * int(upper.sum()), pa.string()), "i": pa.array(i[upper].astype(np.int32)),
+            "j": pa.array(j[upper].astype(np.int32)), "corr": pa.array(corr[upper], from_pandas=True),
+        })
+
+    return run
+
+
 def correlation(raw: DataFrame, sensors: list[str]) -> DataFrame:
-    """Pearson correlation of each sensor pair over the rows where both are present."""
-    pairs = list(combinations(sensors, 2))
-    wide = raw.groupBy("farm").agg(
-        *[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    """Pearson correlation of each sensor pair over the rows where both are present.
+
+    Tasks multiply blocks of columns (values times values, values times presence), so the plan does
+    not grow with the number of pairs; a block's partial sums, a bounded array per task, meet by
+    (farm, block pair). Sums are taken around each farm's mean, which a first pass gives. A pair
+    without spread has none.
+    """
+    names = [F.col(f"`{s}`").cast("double").alias(f"c{i}") for i, s in enumerate(sensors)]
+    numbers = raw.select(F.col("farm").cast("string").alias("farm"), *names)
+    means = numbers.groupBy("farm").agg(*[F.avg(F.nanvl(f"c{i}", F.lit(None))).alias(f"c{i}") for i in range(len(sensors))])
+    shifts = {r["farm"]: [r[f"c{i}"] or 0.0 for i in range(len(sensors))] for r in means.collect()}  # a row per farm
+    listed = F.array(*[F.lit(s) for s in sensors])
+    return (
+        numbers.mapInArrow(_grams(shifts, len(sensors)), GRAMS)
+        .groupBy("farm", "a", "b").applyInArrow(_correlations(len(sensors)), "farm string, i int, j int, corr double")
+        .select("farm", F.element_at(listed, F.col("i") + 1).alias("sensor_a"),
+                F.element_at(listed, F.col("j") + 1).alias("sensor_b"), "corr")
     )
-    cells = [
-        F.struct(F.lit(a).alias("sensor_a"), F.lit(b).alias("sensor_b"), F.col(f"p{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select("farm", F.explode(F.array(*cells)).alias("c")).select("farm", "c.*")
 
 
 def prediction_rows(raw: DataFrame, events: DataFrame) -> DataFrame:
