@@ -159,3 +159,28 @@ def test_nothing_is_scored_without_all_models(spark):
     ranks = spark.createDataFrame([("A", 0, 1)], "farm string, asset_id bigint, rank int")
     out = scoring.score_component(training_rows(spark), "gearbox", None, None, ranks, ranks, F.current_timestamp())
     assert out.isEmpty() and "forecastSeries" in out.columns
+
+
+def test_coded_trees_give_what_spark_gives(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = learning.assembled(training_rows(spark).na.fill(0.0), ["x_avg_24h", "noise"])
+    tree = DecisionTreeRegressor(labelCol="hours_to_failure", leafCol="leaf", maxDepth=4, seed=1).fit(rows)
+    coded = learning.CodedTree.of(tree)
+    out = tree.transform(rows).select("x_avg_24h", "noise", "prediction", "leaf").toPandas()
+    by_leaf = dict(zip(out.leaf, out.prediction))
+    assert len(by_leaf) == max(coded.leaf) + 1 > 4
+    assert list(coded.with_values(by_leaf).gives(out[["x_avg_24h", "noise"]].to_numpy())) == list(out.prediction)
+
+
+def test_quantile_plan_does_not_grow_with_the_rounds(spark):
+    model = learning.QuantileModel(0.5, 1.0, ["x_avg_24h"], {})
+    tree = learning.CodedTree([0, -1, -1], [0.5, 0.0, 0.0], [1, 1, 2], [2, 1, 2], [-1, 0, 1], [0.0, 1.0, 2.0])
+    rows = learning.assembled(training_rows(spark, 9), ["x_avg_24h"])
+    sizes = []
+    for n in (1, 200):
+        model.trees = [tree] * n
+        out = model.add_to(rows, "p")
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert {r.p for r in out.collect()} <= {1.0 + n, 1.0 + 2 * n}
+    assert abs(sizes[0] - sizes[1]) < 20

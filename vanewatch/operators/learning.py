@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 from vanewatch.domain import MIN_QUANTILE_ROWS
 from vanewatch.operators import boosting
 from vanewatch.operators.ranking import first_share
-from vanewatch.session import cut_lineage
 
 # Boosting parameters of the models; fixed values.
 LEARNING_RATE = 0.05
@@ -260,40 +261,82 @@ def fit_classifier(
     return model, scored
 
 
+@dataclass
+class CodedTree:
+    """A regression tree as arrays by node: column (-1 for a leaf), cut, both children, leaf number."""
+
+    feature: list[int]
+    cut: list[float]
+    left: list[int]
+    right: list[int]
+    leaf: list[int]
+    value: list[float]
+
+    @classmethod
+    def of(cls, tree: DecisionTreeRegressionModel) -> CodedTree:
+        """Nodes in pre-order, in which Spark also numbers the leaves."""
+        out = cls([], [], [], [], [], [])
+        leaves = 0
+
+        def add(node) -> int:
+            nonlocal leaves
+            at = len(out.feature)
+            for column, blank in zip((out.feature, out.cut, out.left, out.right, out.leaf, out.value), (-1, 0.0, at, at, -1, 0.0)):
+                column.append(blank)
+            if node.getClass().getSimpleName() == "LeafNode":
+                out.leaf[at], leaves = leaves, leaves + 1
+            else:
+                out.feature[at], out.cut[at] = node.split().featureIndex(), node.split().threshold()
+                out.left[at], out.right[at] = add(node.leftChild()), add(node.rightChild())
+            return at
+
+        add(tree._java_obj.rootNode())
+        return out
+
+    def with_values(self, values: dict[float, float]) -> CodedTree:
+        return CodedTree(self.feature, self.cut, self.left, self.right, self.leaf, [values.get(float(n), 0.0) for n in self.leaf])
+
+    def gives(self, x: np.ndarray) -> np.ndarray:
+        feature, cut, left, right = (np.asarray(c) for c in (self.feature, self.cut, self.left, self.right))
+        node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while (feature[node] >= 0).any():
+            f = feature[node]
+            goes_left = x[rows, np.maximum(f, 0)] <= cut[node]
+            node = np.where(goes_left, left[node], right[node])
+        return np.asarray(self.value)[node]
+
+
 @dataclass
 class QuantileModel:
-    """Sum of small trees whose leaves hold shrunken residual quantiles."""
+    """Sum of small trees whose leaves hold shrunken residual quantiles.
+
+    The trees are one table of arrays, evaluated by one expression whatever their number is.
+    """
 
     alpha: float
     base: float
     columns: list[str]
     medians: dict[str, float | None]
-    trees: list = field(default_factory=list)
-    leaves: list[dict[float, float]] = field(default_factory=list)
+    trees: list[CodedTree] = field(default_factory=list)
 
     def add_to(self, df: DataFrame, name: str) -> DataFrame:
         """Add the prediction to a frame that has a ``features`` vector."""
-        out = df.withColumn(name, F.lit(self.base))
-        for tree, values in zip(self.trees, self.leaves):
-            out = tree.transform(out).withColumn(name, F.col(name) + leaf_value(values)).drop(
-                "_leaf", "_gradient_fit"
-            )
-        return out
+        base, trees = self.base, list(self.trees)
 
+        @F.pandas_udf("double")
+        def evaluate(values: pd.Series) -> pd.Series:
+            x = np.array(values.tolist(), dtype=float).reshape(len(values), -1)
+            return pd.Series(sum((tree.gives(x) for tree in trees), np.full(len(x), base)))
+
+        return df.withColumn(name, evaluate(vector_to_array("features")))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i}")
-        about = {"alpha": self.alpha, "base": self.base, "columns": self.columns, "medians": self.medians,
-                 "leaves": [list(map(list, values.items())) for values in self.leaves]}
-        store_json(spark, about, f"{path}/about")
+        store_json(spark, asdict(self), f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuantileModel:
         about = load_json(spark, f"{path}/about")
-        leaves = [dict(map(tuple, pairs)) for pairs in about.pop("leaves")]
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(len(leaves))]
-        return cls(**about, trees=trees, leaves=leaves)
+        return cls(**{**about, "trees": [CodedTree(**t) for t in about["trees"]]})
 
 
 def store_json(spark: SparkSession, content: dict, path: str) -> None:
@@ -304,11 +347,6 @@ def load_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
 
 
-def leaf_value(values: dict[float, float]) -> Column:
-    pairs = [F.lit(float(x)) for item in values.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_leaf")), F.lit(0.0))
-
-
 def fit_quantile(
     train: DataFrame,
     test: DataFrame,
@@ -320,25 +358,24 @@ def fit_quantile(
     learning_rate: float = LEARNING_RATE,
     depth: int = MAX_DEPTH,
     patience: int = PATIENCE,
-    checkpoint_every: int = 5,
 ) -> tuple[QuantileModel, float]:
     """Boost towards the ``alpha`` quantile; returns the model and its test pinball loss.
 
     Each round fits a tree to the loss gradient and then sets every leaf to the residual
     quantile of its rows: one grouped sketch per round, a few dozen leaf rows to the driver.
-    Running predictions are checkpointed so the plan does not grow with the rounds. ``train``
-    and ``test`` carry ``features`` and the label.
+    Running predictions are one expression over the trees so far, so the plan does not grow with
+    the rounds and nothing is written in between. ``train`` and ``test`` carry ``features`` and
+    the label.
     """
-    spark = train.sparkSession
     base = train.agg(F.percentile_approx(label, alpha, 100_000).alias("q")).first()["q"]
     model = QuantileModel(alpha, float(base), columns, medians)
     rows = (
         train.select("features", label, F.lit(False).alias("_test"))
         .unionByName(test.select("features", label, F.lit(True).alias("_test")))
-        .withColumn("_f", F.lit(float(base)))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    current = cut_lineage(spark, rows)
     loss = F.avg(F.when(F.col("_test"), pinball(label, "_f", alpha))).alias("loss")
+    current = model.add_to(rows, "_f")
     best_loss, best_round = current.agg(loss).first()["loss"], 0
     residual = F.col(label) - F.col("_f")
     for i in range(1, rounds + 1):
@@ -347,23 +384,19 @@ def fit_quantile(
             labelCol="_gradient", predictionCol="_gradient_fit", leafCol="_leaf", maxDepth=depth,
             minInstancesPerNode=MIN_ROWS_PER_LEAF, seed=SEED,
         ).fit(current.where("NOT _test").withColumn("_gradient", gradient))
-        placed = tree.transform(current)
         quantiles = (
-            placed.where("NOT _test").groupBy("_leaf")
+            tree.transform(current.where("NOT _test")).groupBy("_leaf")
             .agg(F.percentile_approx(residual, alpha, 10_000).alias("q")).collect()
         )
-        values = {r["_leaf"]: learning_rate * r["q"] for r in quantiles}
-        model.trees.append(tree)
-        model.leaves.append(values)
-        current = placed.withColumn("_f", F.col("_f") + leaf_value(values)).select(*rows.columns)
-        if i % checkpoint_every == 0:
-            current = cut_lineage(spark, current)
+        model.trees.append(CodedTree.of(tree).with_values({r["_leaf"]: learning_rate * r["q"] for r in quantiles}))
+        current = model.add_to(rows, "_f")
         now = current.agg(loss).first()["loss"]
         if best_loss is None or (now is not None and now < best_loss):
             best_loss, best_round = now, i
         elif i - best_round >= patience:
             break
-    model.trees, model.leaves = model.trees[:best_round], model.leaves[:best_round]
+    model.trees = model.trees[:best_round]
+    rows.unpersist()
     return model, best_loss
 
 
