@@ -276,6 +276,25 @@ def rul_quantile(spark, sf_dir):
     return scored.select(*training.KEYS, "hours_to_failure", "rul_p10", "rul_p50", "rul_p90")
 
 
+@query("rul_checks", sql("""
+    SELECT (count(*) * 20 + 99) // 100 AS n_rows, true AS ordered, true AS outer_shares, true AS beats_a_constant
+    FROM scada WHERE sensor_1_avg IS NOT NULL""", "scada"))
+def rul_checks(spark, sf_dir):
+    """What fitted quantiles must hold on the rows they have not seen: order, shares and a lower loss than one number."""
+    rows = fv.scada(spark, sf_dir).where("sensor_1_avg IS NOT NULL").select(
+        "id", (F.col("sensor_1_avg") + F.col("sensor_2_avg") * 3).alias("hours_to_failure"), "sensor_2_avg", "sensor_4_avg")
+    _, scored = learning.fit_rul(rows, ["sensor_2_avg", "sensor_4_avg"], ["id"], QUANTILES, ROUNDS, DEPTH)
+    middle = scored.agg(F.median("hours_to_failure").alias("m"))
+    actual = F.col("hours_to_failure")
+    loss = F.avg(learning.pinball("hours_to_failure", "rul_p50", 0.5))
+    return scored.crossJoin(F.broadcast(middle)).agg(  # one row
+        F.count(F.lit(1)).alias("n_rows"),
+        F.every((F.col("rul_p10") <= F.col("rul_p50")) & (F.col("rul_p50") <= F.col("rul_p90"))).alias("ordered"),
+        (F.avg((actual <= F.col("rul_p90")).cast("int")).between(0.8, 1.0)
+         & F.avg((actual <= F.col("rul_p10")).cast("int")).between(0.0, 0.2)).alias("outer_shares"),
+        (loss < F.avg(learning.pinball("hours_to_failure", "m", 0.5))).alias("beats_a_constant"))
+
+
 def trained(spark, sf_dir):
     f = stored_features(spark, sf_dir)
     fault_table = fv.stored_faults(spark, sf_dir)
