@@ -356,7 +356,11 @@ def matches(docs: DataFrame, items: DataFrame, filter_bytes: int = FILTER_BYTES)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` with (contaminated, item_ids): the benchmark items each row holds, by id."""
+    """``docs`` with (contaminated, item_ids): the benchmark items each row holds, by id.
+
+    Columns of ``docs`` with one of these names, or ``_row`` or ``_at``, are left behind.
+    """
+    docs = docs.drop("contaminated", "item_ids", "_row", "_at")
     found = stored(
         matches(docs, items, **options).groupBy(F.col("row").alias("_row"))
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")),

@@ -92,7 +92,12 @@ def drop_shared_lines(
     margin: float = MARGIN,
     bits: int = SKETCH_BITS,
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and (n_lines, n_removed)."""
+    """``docs`` with boilerplate lines taken out of ``text``, and (n_lines, n_removed).
+
+    Columns of ``docs`` with one of these two names, or a name of a step (``_gone``, ``_gone_key``,
+    ``_row_key``, ``_all``), are left behind.
+    """
+    docs = docs.drop("n_lines", "n_removed", "_gone", "_gone_key", "_row_key", "_all")
     lines = stored(_lines(docs, site, min_words), "lines")
     shared = stored(_shared(lines, min_sites, margin, bits), "shared-lines")
     removed = (
