@@ -4,21 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanewatch.operators.alerting import evaluated
-from vanewatch.sources.tables import overwrite_partitions, read_table, upsert
+from vanewatch.sources.tables import (
+    drop_partition, exists, overwrite, overwrite_partitions, read_table, upsert,
+)
 from vanewatch.streaming.gold import isolated
 from vanewatch.streaming.ingest import run_available
 
+#: Partitions of a keyed table that does not say otherwise.
 KEY_PARTITIONS = 16
 
 
-def upsert_keyed(df: DataFrame, path: str, keys: list[str], newest_first: list[Column]) -> None:
-    """Put whole rows by key; a hash of the key decides the partition that is rewritten."""
-    part = F.pmod(F.xxhash64(*keys), F.lit(KEY_PARTITIONS)).cast("int")
-    upsert(df.withColumn("_part", part), path, keys, newest_first, ["_part"])
+def _property(path: str) -> str:
+    return f"{path.rstrip('/')}_partitions"
+
+
+def key_partitions(spark: SparkSession, path: str) -> int | None:
+    """Into how many partitions the keys of a table are dealt; ``None`` without a table."""
+    if exists(spark, _property(path)):
+        return int(spark.read.text(_property(path)).first()["value"])
+    return KEY_PARTITIONS if exists(spark, path) else None
+
+
+def _keep_partitions(spark: SparkSession, path: str, partitions: int) -> None:
+    spark.createDataFrame([(str(partitions),)], "value string").coalesce(1).write.mode("overwrite").text(_property(path))
+
+
+def _dealt(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    return df.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int"))
+
+
+def upsert_keyed(
+    df: DataFrame, path: str, keys: list[str], newest_first: list[Column], partitions: int = KEY_PARTITIONS
+) -> None:
+    """Put whole rows by key; a hash of the key decides the partition that is rewritten.
+
+    How many partitions there are is a property of the table, kept beside it: ``partitions`` counts
+    when the table is made, later writes follow the table. A small batch rewrites the partitions of
+    its keys only, so more partitions make small batches cheaper and large ones no dearer.
+    """
+    spark = df.sparkSession
+    known = key_partitions(spark, path)
+    if known is None:
+        _keep_partitions(spark, path, partitions)
+    upsert(_dealt(df, keys, known or partitions), path, keys, newest_first, ["_part"])
+
+
+def redeal_keys(spark: SparkSession, path: str, keys: list[str], partitions: int) -> None:
+    """Deal a table anew into another number of partitions; no write may run meanwhile.
+
+    The rows are first kept in a second table, from which this can be run again if it fails.
+    """
+    stored = read_table(spark, path)
+    if stored is None:
+        return
+    beside = f"{path.rstrip('/')}_redealt"
+    overwrite(_dealt(stored.drop("_part"), keys, partitions), beside, ["_part"])
+    overwrite(spark.read.parquet(beside), path, ["_part"])
+    _keep_partitions(spark, path, partitions)
+    drop_partition(spark, beside)
 
 
 def first_arrivals(stream: DataFrame, keys: list[str], clock: str, delay: str) -> DataFrame:
