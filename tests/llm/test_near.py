@@ -85,6 +85,14 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(-1, None, True), (3, 3, True), (3, 3, True), (9, 3, False)]
 
 
+def test_every_text_of_an_id_links(spark):
+    """Id 5 stands on two texts: copies of either, near or exact, are copies of the document."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "az")
+    rows = [(5, one), (5, two), (7, two + " more"), (8, one + " more"), (3, two), (9, "another text of six words")]
+    got = {r.doc_id: r.component_id for r in signatures.near_groups(frame(spark, rows)).collect()}
+    assert got == {3: 3, 5: 3, 7: 3, 8: 3, 9: 9}
+
+
 def test_empty_table(spark):
     assert signatures.near_groups(frame(spark, [])).count() == 0
 

@@ -12,18 +12,21 @@ Lists are merged by leaders, the most central members: those whose coordinates m
 hold. Members meet their list's leader, collisions are counted over whole signatures, and what
 stays above the threshold is confirmed on the full shingle sets. Confirmed links form components.
 A list whose members are all in one component is skipped from then on. The others are completed
-across components: in lists of up to ``SHORT_LIST`` every member leads in turn; members of longer
-lists are joined on what they do not have in common with their leader.
-
-For that join, let D(x) be the shingles that only one of x and the leader holds. Two texts u and v
-differ in |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles, so a link needs a certain overlap of D(u)
-and D(v). Of two texts in different components at least one is not linked with the leader; its D
-is large, and then the overlap is at least about half of either. It is found by prefixes of D,
-rarest shingles first, and by positions in them, without comparing all members of a list.
+across components: lists of up to ``SHORT_LIST`` members are compared in full, members of longer
+ones on what they do not have in common with their leader.
+
+Let D(x) be the shingles that only one of x and the leader holds. Two texts u and v differ in
+|D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles, so a link needs a certain overlap of D(u) and D(v). Of
+two texts in different components at least one is not linked with the leader; its D is large, and
+then the overlap is at least about half of either. Members are posted under a prefix of D, rarest
+shingles first. Each such list elects a leader of its own, which takes the members that differ
+from the first leader alike into its component. What is then still apart is joined on the posted
+shingles; places in the prefixes and bit sets of D, both exact bounds of the overlap, leave only
+pairs that may be links.
 
 Defined results: a null text and a text without words have an empty set and link with nothing; a
 text shorter than a shingle is one shingle; rows with a null id are linked with nothing and
-kept; rows with one id are one document; repeated rows give repeated results.
+kept; rows with one id are one document, linked by any of its texts; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ COORDINATES = 48
 MATCHES = 28
 PERCENT = 85
 SHORT_LIST = 32
+#: Words of 64 bits in the bit set of a text's differences from its leader.
+BIT_WORDS = 8
+SLACK = 1e-6
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -174,7 +180,7 @@ def _confirmed(percent: int):
     return run
 
 
-DIFFERENCES = "rep long, lead long, n_rep long, n_lead long, shingle long"
+DIFFERENCES = "rep long, own long, lead long, outside boolean, n_rep long, n_lead long, shingle long"
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,62 +193,96 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = (np.bincount(held, minlength=n)[pair] for held in (held_a, held_b))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(piece.column(c).to_numpy()[pair]) for c in ("a", "b")),
+                    *(pa.array(piece.column(c).to_numpy()[pair]) for c in ("a", "own", "b")),
+                    pa.array(np.asarray(piece.column("outside").to_pylist(), dtype=bool)[pair]),
                     *(pa.array(size.astype(np.int64)) for size in sizes),
                     pa.array(np.concatenate([hashes_a[own], hashes_b[lacked]]).view(np.int64)),
                 ],
-                ["rep", "lead", "n_rep", "n_lead", "shingle"],
+                ["rep", "own", "lead", "outside", "n_rep", "n_lead", "shingle"],
             )
 
 
-def _across(led: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components under one leader that may be links; none is missed.
+def _bits(i: int):
+    """The i-th word of a bit set of an aggregated group's shingles."""
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 AS int))")
+    return F.coalesce(F.bit_or(F.when(F.expr(f"shiftright(shingle, 6) & {BIT_WORDS - 1}") == i, bit)), F.lit(0))
+
 
-    ``led`` has rep, component, lead and lead_component. With r = (100 - percent) / (100 + percent),
-    u and v are linked if they differ in at most r (|u| + |v|) shingles. A text u outside its
-    leader's component is not linked with the leader, so |D(u)| > r (|u| + |leader|). Hence the
-    overlap with any v is more than (|D(v)| + r (|leader| - |v|)) / 2. It is also at least
-    |D(u)| - r (|u| + |v|), since it is at most |D(v)|. Both bound the prefixes.
+def _posted_differences(led: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Members under the rarest shingles that only they or their leader hold; see ``_across``.
+
+    ``led`` has rep, apart, lead and outside; the last tells members of another component than
+    their leader. A shingle is left out if no member outside differs from the leader by it.
     """
     r = (100 - percent) / (100 + percent)
-    slack = 1e-6
     spread = stored(
         led.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("text_a")), "rep")
         .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("text_b")), "lead")
-        .select(F.col("rep").alias("a"), F.col("lead").alias("b"), "text_a", "text_b")
+        .select(
+            F.col("rep").alias("a"), F.xxhash64("text_a", "text_b").alias("own"), F.col("lead").alias("b"),
+            "outside", "text_a", "text_b",
+        )
         .mapInArrow(_differences, DIFFERENCES),
         "differences",
     )
-    held = spread.groupBy("lead", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    held = spread.groupBy("lead", "shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("outside").alias("needed")
+    )
     ranked = (
         spread.join(held, ["lead", "shingle"])
-        .groupBy("rep", "lead", "n_rep", "n_lead")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-        .join(led, ["rep", "lead"])
-        .withColumn("outside", F.col("component") != F.col("lead_component"))
-        .withColumn("size", F.size("own"))
+        .groupBy("rep", "own", "lead", "n_rep", "n_lead", "outside")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("n", "shingle", "needed"))).alias("shares"),
+            *[_bits(i).alias(f"bits{i}") for i in range(BIT_WORDS)],
+        )
+        .withColumn("size", F.size("shares"))
     )
-    facing_outside = F.floor((F.col("size") + r * (F.col("n_lead") - F.col("n_rep"))) / 2 - slack) + 1
-    facing_inside = F.ceil(F.col("size") - r * F.col("n_rep") * (1 + 100 / percent) - slack)
+    facing_outside = F.floor((F.col("size") + r * (F.col("n_lead") - F.col("n_rep"))) / 2 - SLACK) + 1
+    facing_inside = F.ceil(F.col("size") - r * F.col("n_rep") * (1 + 100 / percent) - SLACK)
     overlap = F.when(F.col("outside"), F.least(facing_outside, facing_inside)).otherwise(facing_outside)
     taken = F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), overlap) + 1).cast("int")
-    posted = stored(
-        ranked.select(
-            "rep", "lead", "n_rep", "component", "outside", "size",
-            F.posexplode(F.slice("own", F.lit(1), taken)).alias("at", "p"),
-        )
-        .where("p.n > 1")
-        .select("rep", "lead", "n_rep", "component", "outside", "size", "at", F.col("p.shingle").alias("shingle")),
+    places = F.transform(
+        F.slice("shares", F.lit(1), taken),
+        lambda p, at: F.struct(at.alias("at"), p["shingle"].alias("shingle"), p["n"].alias("n"), p["needed"].alias("needed")),
+    )
+    shared = F.filter(places, lambda p: (p["n"] > 1) & p["needed"])
+    kept = ["rep", "lead", "n_rep", "outside", "size", *[f"bits{i}" for i in range(BIT_WORDS)]]
+    return stored(
+        ranked.select(*kept, F.explode(shared).alias("p"))
+        .select(*kept, "p.at", "p.shingle")
+        .join(led.select("rep", "lead", "apart"), ["rep", "lead"]),
         "difference-postings",
     )
+
+
+def _across(posted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under one leader that may be links; none is missed.
+
+    ``posted`` is made by ``_posted_differences`` and has the component besides. With
+    r = (100 - percent) / (100 + percent), u and v are linked if they differ in at most
+    r (|u| + |v|) shingles. A text u outside its leader's component is not linked with the leader,
+    so |D(u)| > r (|u| + |leader|). Hence the overlap with any v is more than
+    (|D(v)| + r (|leader| - |v|)) / 2. It is also at least |D(u)| - r (|u| + |v|), since it is at
+    most |D(v)|. Both bound the prefixes. A shingle in D(u) whose bit D(v) lacks is not shared,
+    so the bit sets of both bound their overlap before any text is looked at.
+    """
+    r = (100 - percent) / (100 + percent)
     other = posted.select(*[F.col(c).alias(f"_{c}") for c in posted.columns])
-    needed = (F.col("size") + F.col("_size") - r * (F.col("n_rep") + F.col("_n_rep"))) / 2 - slack
-    possible = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    needed = (F.col("size") + F.col("_size") - r * (F.col("n_rep") + F.col("_n_rep"))) / 2 - SLACK
+
+    def lacked(one: str, two: str):
+        terms = [
+            F.bit_count(F.col(f"{one}bits{i}").bitwiseAND(F.bitwise_not(f"{two}bits{i}"))) for i in range(BIT_WORDS)
+        ]
+        return sum(terms[1:], terms[0])
+
     return (
         posted.where("outside")
         .join(other, (F.col("lead") == F.col("_lead")) & (F.col("shingle") == F.col("_shingle")))
         .where((F.col("component") != F.col("_component")) & (~F.col("_outside") | (F.col("rep") < F.col("_rep"))))
-        .where(possible >= needed)
+        .where(F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= needed)
+        .where(F.col("size") - lacked("", "_") >= needed)
+        .where(F.col("_size") - lacked("_", "") >= needed)
         .select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
         .distinct()
     )
@@ -270,6 +310,16 @@ def _postings(reps: DataFrame, matches: int) -> DataFrame:
     )
 
 
+def one_document(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the representatives of ids that stand on several texts."""
+    held = classes.where("rep IS NOT NULL").select("doc_id", "rep").distinct()
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
+    return (
+        held.join(broadcast_within(least.select(F.col("doc_id").alias("id"), "a")), F.col("doc_id") == F.col("id"))
+        .select("a", F.col("rep").alias("b")).where("a <> b")
+    )
+
+
 def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
     """(classes, links): every row with the representative of its set, and links of those.
 
@@ -293,12 +343,12 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
         "left",
     ).select("doc_id", "n_shingles", "rep")
 
-    signs = reps.groupBy("rep").agg(F.min("signature").alias("sign"))
+    signs = reps.select("rep", F.col("signature").alias("sign"))
     lists = stored(_postings(reps.select("rep", "signature"), matches), "postings")
     posted = broadcast_within(lists.select(F.col("rep").alias("r")).distinct())
     texts = stored(
         narrow.join(posted, F.col("doc_id") == F.col("r"))
-        .groupBy("doc_id").agg(F.min("text").alias("text")),
+        .select("doc_id", "text").distinct(),
         "posted-texts",
     )
 
@@ -315,66 +365,68 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
             .mapInArrow(_confirmed(percent), "a long, b long")
         )
 
-    central = F.min_by("rep", F.struct("apart", "rep"))
-    first = lists.groupBy("pair").agg(central.alias("b"), F.count(F.lit(1)).alias("n"))
-    pairs = (
-        lists.withColumnRenamed("rep", "a")
-        .join(first.where("n > 1").withColumnRenamed("pair", "p"), F.col("pair") == F.col("p"))
-        .where("a <> b")
-        .select("a", "b")
-        .distinct()
-    )
-    links = stored(confirm(pairs), "near-links")
-    found = components(links)
-    by_rank = Window.partitionBy("pair").orderBy("apart", "rep")
-
-    def open_lists() -> DataFrame:
-        """Members in central order of the lists that still hold more than one component."""
-        named = lists.join(found, F.col("rep") == F.col("node"), "left").select(
-            "pair", "rep", "apart", F.coalesce("component", "rep").alias("component")
-        )
+    links = found = None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, found
+        fresh = stored(confirm(pairs), "near-links")
+        if links is None:
+            links = one_document(classes).unionByName(fresh)
+        elif fresh.isEmpty():
+            return
+        else:
+            links = links.unionByName(fresh)
+        found = components(links)
+
+    def members(lists: DataFrame) -> DataFrame:
+        """Members of the lists that still hold more than one component, with the list's leader."""
+        named = (
+            lists.withColumn("component", F.col("rep")) if found is None
+            else lists.join(found, F.col("rep") == F.col("node"), "left").withColumn(
+                "component", F.coalesce("component", "rep"))
+        ).select("pair", "rep", "apart", "component")
+        lead = F.min_by(F.struct("rep", "component"), F.struct("apart", "rep"))
         still_open = (
             named.groupBy("pair")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .where("n > 2 AND lo < hi")
-            .select(F.col("pair").alias("open"), "n")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                 lead.alias("lead"))
+            .where("lo < hi")
+            .select(F.col("pair").alias("open"), "n", F.col("lead.rep").alias("lead"),
+                    (F.col("lead.component")).alias("lead_component"))
         )
-        return stored(
-            named.join(still_open, F.col("pair") == F.col("open"))
-            .withColumn("at", F.row_number().over(by_rank))
-            .select("pair", "rep", "component", "at", "n"),
-            "open-lists",
+        return named.join(still_open, F.col("pair") == F.col("open")).select(
+            "pair", "rep", "apart", "component", "n", "lead",
+            (F.col("component") != F.col("lead_component")).alias("outside"),
         )
 
-    def short_pairs() -> DataFrame:
-        members = open_lists().where(F.col("n") <= SHORT_LIST)
-        lead = members.where("at > 1").select(
-            F.col("pair").alias("p"), F.col("rep").alias("b"), F.col("component").alias("c"),
-            F.col("at").alias("lead_at"),
-        )
-        return (
-            members.join(lead, (F.col("pair") == F.col("p")) & (F.col("at") > F.col("lead_at")))
-            .where("component <> c")
-            .select(F.col("rep").alias("a"), "b")
-            .distinct()
-        )
+    def by_leader(lists: DataFrame) -> None:
+        link(members(lists).where("outside").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
 
-    def long_pairs() -> DataFrame:
-        members = open_lists().where(F.col("n") > SHORT_LIST)
-        lead = members.where("at = 1").select(
-            F.col("pair").alias("p"), F.col("rep").alias("lead"), F.col("component").alias("lead_component")
-        )
-        led = (
-            members.where("at > 1").join(lead, F.col("pair") == F.col("p"))
-            .select("rep", "component", "lead", "lead_component").distinct()
-        )
-        return _across(stored(led, "led"), texts, percent)
-
-    for completed in (short_pairs, long_pairs):
-        fresh = stored(confirm(completed()), "near-links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = components(links)
+    by_leader(lists)
+    left = stored(members(lists).where("n > 2 AND rep <> lead"), "open-lists")
+    long = left.where(F.col("n") > SHORT_LIST)
+    led = stored(
+        long.groupBy("rep", "lead").agg(F.min("apart").alias("apart"), F.first("outside").alias("outside")), "led"
+    )
+    short = left.where(F.col("n") <= SHORT_LIST)
+    other = short.select(*[F.col(c).alias(f"_{c}") for c in ("pair", "rep", "component")])
+    link(
+        short.join(other, (F.col("pair") == F.col("_pair")) & (F.col("rep") > F.col("_rep")))
+        .where("component <> _component")
+        .select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+        .distinct()
+    )
+    if led.isEmpty():
+        return classes, found
+    posted = _posted_differences(led, texts, percent)
+    # Members that differ from a leader alike often belong together: a leader of their own takes
+    # them into its component, and what is left is compared across components only.
+    alike = posted.groupBy(F.xxhash64("lead", "shingle").alias("pair"), "rep").agg(F.min("apart").alias("apart"))
+    by_leader(alike)
+    posted = posted.join(found, F.col("rep") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    ).drop("node", "apart")
+    link(_across(posted, percent))
     return classes, found
 
 
