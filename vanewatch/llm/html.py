@@ -4,7 +4,7 @@ A page is read as a line of tokens. Words score positive, tags negative; the mai
 contiguous run with the largest sum, found in one scan. How much a tag costs is learned: pages
 that mark their content with ``article`` or ``main`` serve as labelled pages, and a tag costs the
 more the more often it stands outside the marked content. Elements that are never content
-(scripts, menus, forms, adverts, comments and the like) are left out, also inside the run. An element
+(scripts, menus, adverts, comments and the like) are left out, also inside the run. A form or an element
 told by its class or id only stays if it wraps the article: if it holds ``article`` or ``main``, or,
 on a page without these, most of the page's words.
 
@@ -22,6 +22,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +34,10 @@ WORD_SCORE = 1.0
 LEAST_COST, MOST_COST = 0.01, 4.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object math canvas".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select dialog menu".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object canvas".split())
+#: Of these, the ones whose content is markup, so that they may hold one another.
+NESTING = frozenset("template svg object canvas".split())
+DROPPED = RAW | frozenset("head nav header footer aside button select dialog menu".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark "
     "q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -56,15 +59,69 @@ ROLES = frozenset(
     "menubar toolbar".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+TAG_STOP = re.compile(r"[>\"']")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"']*/\Z")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 PART = re.compile(r"[a-z]+")
 
 
+def _marks(page: str, resume: list[int]) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", lower-case name, rest) of each tag; no name for comments and the like.
+
+    One pass: a ``<`` that no ``>`` follows is text, a comment without an end takes the rest. Where
+    a quote is never closed, tags from there on end at their first ``>``. A reader that skips raw
+    content puts the place to go on from into ``resume``.
+    """
+    at, last, loose = 0, page.rfind(">"), False
+    while True:
+        start = page.find("<", max(at, resume[0]))
+        if start < 0:
+            return
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        if start > last:
+            at = start + 1
+            continue
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            yield start, at, "", "", ""
+            continue
+        name = NAME.match(page, start + 1)
+        if not name:
+            at = start + 1
+            continue
+        end = name.end()
+        while not loose:
+            stop = TAG_STOP.search(page, end)
+            if stop and stop.group() == ">":
+                end = stop.start()
+                break
+            closed = page.find(stop.group(), stop.end()) if stop else -1
+            loose = closed < 0
+            end = closed + 1
+        if loose:
+            end = page.find(">", name.end())
+        at = end + 1
+        yield start, at, name.group(1), name.group(2).lower(), page[name.end() : end]
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where a raw element that began before ``at`` ends, with those of its kind inside it."""
+    depth = 1
+    for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if tag.group(1):
+            depth -= 1
+        elif name in NESTING and not tag.group().endswith("/>"):
+            depth += 1
+        if not depth:
+            return tag.end()
+    return len(page)
+
+
 def _aside(name: str, rest: str) -> bool:
     """Is this element something other than the article, whatever it is called."""
     if name in DROPPED:
@@ -132,19 +189,13 @@ def _read(page: str, spared: set[int] | None) -> Iterator[tuple[str, str, bool,
     marked = 0
     skip = 0  # depth of the stack at which the skipped element sits
     around: list[tuple[int, int]] = []  # depth and place of elements called aside
-    at, size = 0, len(page)
-    while at < size:
-        found = TOKEN.search(page, at)
-        until = found.start() if found else size
-        if until > at and not skip:
-            yield "text", page[at:until], marked > 0, tuple(p for _, p in around)
-        if not found:
-            break
-        at = found.end()
-        closing, name, rest = found.group(1), found.group(2), found.group(3)
-        if name is None:
+    at, size, resume = 0, len(page), [0]
+    for start, end, closing, name, rest in chain(_marks(page, resume), [(size, size, "", "", "")]):
+        if start > at and not skip:
+            yield "text", page[at:start], marked > 0, tuple(p for _, p in around)
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if closing:
             if name not in stack:
                 continue
@@ -164,13 +215,13 @@ def _read(page: str, spared: set[int] | None) -> Iterator[tuple[str, str, bool,
         if skip and stack[skip - 1] == "head" and name not in IN_HEAD:
             del stack[skip - 1 :]
             skip = 0
-        if name in VOID or rest.endswith("/"):
+        closes_itself = name in ("svg", "math") and rest.endswith("/") and not UNQUOTED_END.search(rest)
+        if name in VOID or closes_itself:
             if not skip:
                 yield "open", name, marked > 0, ()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = resume[0] = _raw_end(page, name, at)
             continue
         if stack and (stack[-1] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option")):
             stack.pop()
@@ -183,15 +234,15 @@ def _read(page: str, spared: set[int] | None) -> Iterator[tuple[str, str, bool,
             marked += 1
         stack.append(name)
         if not skip:
-            called = bool(rest) and name not in ("html", "body") and _called_aside(rest)
-            if _aside(name, rest) or called and name not in CONTENT and spared is not None and found.start() not in spared:
+            called = name == "form" or bool(rest) and name not in ("html", "body") and _called_aside(rest)
+            if _aside(name, rest) or called and name not in CONTENT and spared is not None and start not in spared:
                 skip = len(stack)
                 continue
             if spared is None and name in CONTENT and not called:
                 yield "content", name, True, tuple(p for _, p in around)
             elif spared is None and called and name not in CONTENT:
-                around.append((len(stack), found.start()))
-                yield "called", str(found.start()), inside, ()
+                around.append((len(stack), start))
+                yield "called", str(start), inside, ()
             yield "open", name, marked > 0, ()
 
 
@@ -214,8 +265,8 @@ def learn_costs(pages: DataFrame, most: int = SAMPLE_PAGES) -> dict[str, float]:
             total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for page in batch["html"]:
                 for tag, (a, b) in tag_counts(page).items():
-                    total[tag[:32]][0] += a
-                    total[tag[:32]][1] += b
+                    total[tag][0] += a
+                    total[tag][1] += b
             yield pd.DataFrame(
                 [(t, a, b) for t, (a, b) in total.items()], columns=["tag", "inside", "outside"]
             )
