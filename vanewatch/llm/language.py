@@ -42,7 +42,9 @@ SMOOTHING = 0.05
 SCORED_BYTES = 1 << 20
 UND = "und"
 
-NO_LETTER = re.compile(r"[^\w\n]|[\d_]")
+#: Numerals of any kind, such as fractions and superscripts, are no letters.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+NO_LETTER = re.compile(rf"[^\w\n]|[\d_{NUMERALS}]")
 
 
 @dataclass(frozen=True)
