@@ -47,6 +47,31 @@ def test_words_match_brute_force(spark, seed):
     assert got == brute.repeated_words(rows)
 
 
+def edited(seed: int) -> list[tuple]:
+    """One passage in every text, cut, edited and surrounded in many ways, over few characters."""
+    rng = random.Random(seed)
+    signs = "ab" if seed % 2 else "abc d\n"
+    make = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    passage = make(70) + " " + " ".join(make(3) for _ in range(30))
+    rows = []
+    for i in range(60):
+        body = passage[rng.randint(0, 60) : len(passage) - rng.randint(0, 60)]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(body))
+            body = body[:at] + make(rng.randint(0, 2)) + body[at + rng.randint(0, 2) :]
+        rows.append((i, make(rng.randint(0, 30)) + rng.choice(["", " "]) + body + make(rng.randint(0, 30))))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_passage_with_edits_matches_brute_force(spark, seed):
+    rows = edited(seed)
+    docs = frame(spark, rows).repartition(3)
+    assert {r[0]: tuple(r)[1:] for r in suffix_arrays.digest(docs).collect()} == brute.repeated_bytes(rows)
+    assert {r[0]: tuple(r)[1:] for r in suffix_trees.digest(docs).collect()} == brute.repeated_words(rows)
+
+
 def test_null_and_repeated_ids(spark):
     text = "one two three four five six seven eight nine ten " * 3
     rows = [(None, text), (7, text), (7, text), (None, text + "more")]

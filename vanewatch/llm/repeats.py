@@ -8,14 +8,18 @@ every window that also starts at an earlier place, in four deals of the data:
    anchor, all windows around it, is hashed too. Within a task, equal contexts fall together:
    only the first travels, the later ones are repeats for certain.
 2. Occurrences are dealt out by anchor. Equal contexts fall together again, this time across
-   tasks. Anchors left with several contexts may share windows in part; their contexts are asked
-   for.
-3. Texts meet these requests and send the contexts, dealt out by anchor.
-4. A suffix structure over each share of contexts, the method of the operator, finds the windows
-   that start earlier elsewhere.
-
-Removed stretches are then merged per document. A row's figures travel packed, some thousand to
-a row, so the shuffles move bytes rather than rows.
+   tasks. Different contexts of one anchor may share windows in part. A window holds the gram and
+   at least half of its other symbols on one side, so the contexts must agree on the gram with
+   that half before it or behind it; both are hashed in step 1. The part of a context around such
+   a half is asked for only if a different context agrees on it.
+3. Texts meet these requests and send the parts, dealt out by (anchor, side, half). Contexts that
+   merely share an anchor never meet, so a common gram is split by what stands beside it.
+4. Equal parts fall together; a suffix structure over those that remain, the method of the
+   operator, finds the windows that start earlier elsewhere.
+
+Removed stretches are then merged per document. A row's figures travel packed, one row for each
+batch and task of the next step, so the shuffles move bytes rather than rows. Rows never outnumber
+the items they carry.
 """
 
 from __future__ import annotations
@@ -29,19 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vanewatch.llm.common import stored, task_count
-from vanewatch.llm.symbols import Sums, anchors, blocks, merged, word_spans
+from vanewatch.llm.symbols import BLOCK_BYTES, Sums, anchors, blocks, merged, mixed, word_spans
 
 #: Where a null id stands in the order of documents.
 LAST_ID = (1 << 63) - 1
 
 OCCURRENCE, REMOVED, WANTED = 0, 1, 2
-PACK = (
-    "kind int, bucket int, ids binary, keys binary, counts binary, lo binary, span binary, "
-    "anchor binary, context binary"
-)
-PACK_NAMES = [part.split(" ")[0] for part in PACK.split(", ")]
-CONTEXTS = "bucket int, ids binary, keys binary, lo binary, size binary, anchor binary, data binary"
-CONTEXT_NAMES = [part.split(" ")[0] for part in CONTEXTS.split(", ")]
+#: What a packed row may hold for each item besides its document.
+ITEMS = {"lo": np.uint32, "span": np.uint32, "anchor": np.uint32, "place": np.uint8,
+         "before": np.uint32, "behind": np.uint32, "code": np.uint64}
+PACK_NAMES = ["kind", "bucket", "ids", "keys", "counts", *ITEMS]
+PACK = ", ".join(f"{name} {'int' if i < 2 else 'binary'}" for i, name in enumerate(PACK_NAMES))
+PARTS = "bucket int, ids binary, keys binary, lo binary, span binary, size binary, code binary, data binary"
+PART_NAMES = [part.split(" ")[0] for part in PARTS.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -54,9 +58,19 @@ class Rule:
     #: Do earlier places of the same document count, or only documents with a smaller id.
     within: bool
 
+    @property
+    def slack(self) -> int:
+        """Symbols of a window besides the gram."""
+        return self.window - self.gram
 
-#: (ids, keys, lo, data, offsets, anchor) of contexts, ordered by anchor, to removed stretches
-#: as (context number, first symbol, past last symbol), counted inside the context.
+    @property
+    def half(self) -> int:
+        """Symbols that every window has before its gram, or else behind it."""
+        return -(-self.slack // 2)
+
+
+#: (ids, keys, lo, data, offsets, code) of parts, ordered by code, to removed stretches as
+#: (part number, first symbol, past last symbol), counted inside the part.
 Settle = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -80,15 +94,14 @@ def _later(rule: Rule, doc: np.ndarray, lo: np.ndarray, first: np.ndarray) -> np
     return after
 
 
-def _pack(kind, bucket, ids, keys, row, lo, span, anchor=None, context=None) -> Iterator[pa.RecordBatch]:
+def _pack(kind, bucket, ids, keys, row, **items) -> Iterator[pa.RecordBatch]:
     """Rows of one kind, one for each bucket; ``row`` points into ids and keys, equal ones adjoin."""
     if len(row) == 0:
         return
     small = np.uint16 if bucket.max() < 1 << 16 else np.int64
     order = np.argsort(bucket.astype(small), kind="stable")
-    bucket, row, lo, span = bucket[order], row[order], lo[order], span[order]
-    anchor = None if anchor is None else anchor[order]
-    context = None if context is None else context[order]
+    bucket, row = bucket[order], row[order]
+    items = {name: values[order].astype(ITEMS[name]) for name, values in items.items()}
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     columns: dict[str, list] = {name: [] for name in PACK_NAMES}
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -99,11 +112,9 @@ def _pack(kind, bucket, ids, keys, row, lo, span, anchor=None, context=None) ->
         columns["ids"].append(ids[used].tobytes())
         columns["keys"].append(keys[used].tobytes())
         columns["counts"].append(np.diff(heads).astype(np.uint32).tobytes())
-        columns["lo"].append(lo[a:b].astype(np.uint32).tobytes())
-        columns["span"].append(span[a:b].astype(np.uint32).tobytes())
-        columns["anchor"].append(None if anchor is None else anchor[a:b].astype(np.uint32).tobytes())
-        columns["context"].append(None if context is None else context[a:b].tobytes())
-    types = [pa.int32(), pa.int32()] + [pa.binary()] * 7
+        for name in ITEMS:
+            columns[name].append(items[name][a:b].tobytes() if name in items else None)
+    types = [pa.int32(), pa.int32()] + [pa.binary()] * (len(PACK_NAMES) - 2)
     yield pa.RecordBatch.from_arrays(
         [pa.array(columns[n], t) for n, t in zip(PACK_NAMES, types)], PACK_NAMES
     )
@@ -111,8 +122,7 @@ def _pack(kind, bucket, ids, keys, row, lo, span, anchor=None, context=None) ->
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     """All packed rows of a task as flat arrays; ``bucket`` is repeated for each item."""
-    kinds = {"ids": np.int64, "keys": np.int64, "counts": np.uint32, "lo": np.uint32,
-             "span": np.uint32, "anchor": np.uint32, "context": np.uint64}
+    kinds = {"ids": np.int64, "keys": np.int64, "counts": np.uint32, **ITEMS}
     parts: dict[str, list] = {name: [] for name in ["bucket", *kinds]}
     for batch in batches:
         for r in range(batch.num_rows):
@@ -133,8 +143,19 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return flat
 
 
-def _row_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (codes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _around(rule: Rule, place: np.ndarray, span: np.ndarray) -> tuple[tuple, tuple]:
+    """Where the parts of contexts begin and how long they are, before and behind their anchors.
+
+    The first part holds the windows with ``half`` symbols or more before the gram, the second
+    all others; both count from the begin of the context. A part shorter than a window holds none.
+    """
+    behind = np.maximum(place - (rule.slack - rule.half), 0)
+    before = np.minimum(place - rule.half + rule.window, span)
+    return (np.zeros_like(place), behind), (np.where(place < rule.half, 0, before), span - behind)
 
 
 def _removed(ids, keys, lo, span, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -149,7 +170,8 @@ def _removed(ids, keys, lo, span, buckets: int) -> Iterator[pa.RecordBatch]:
     start, stop = merged(base + lo, base + lo + span)
     row, ids, keys = start >> 32, ids[fresh], keys[fresh]
     yield from _pack(
-        REMOVED, _row_bucket(keys, buckets)[row], ids, keys, row, start & 0xFFFFFFFF, stop - start
+        REMOVED, _bucket(keys, buckets)[row], ids, keys, row,
+        lo=start & 0xFFFFFFFF, span=stop - start,
     )
 
 
@@ -165,32 +187,51 @@ def _find_occurrences(rule: Rule, buckets: int):
                 ends = np.repeat(firsts[1:], np.diff(firsts))
                 at = anchors(grams, ends, rule.window, rule.gram)
                 own = np.searchsorted(firsts, at, side="right") - 1
-                lo = np.maximum(at - (rule.window - rule.gram), firsts[own])
+                lo = np.maximum(at - rule.slack, firsts[own])
                 hi = np.minimum(at + rule.window, firsts[own + 1])
+                place, span = at - lo, hi - lo
+                halves = []
+                begin, size = _around(rule, place, span)
+                for side, start, stop in (
+                    (0, at - rule.half, at + rule.gram), (1, at, at + rule.gram + rule.half)
+                ):
+                    holds = np.flatnonzero(size[side] >= rule.window)
+                    half = np.zeros(len(at), dtype=np.uint32)
+                    half[holds] = sums.spans(start[holds], stop[holds]) >> np.uint64(32) | np.uint64(1)
+                    halves.append(half)
+                context = mixed(sums.spans(lo, hi) + place.astype(np.uint64))
                 found.append((
-                    grams[at], sums.spans(lo, hi), own + rows.start, lo - firsts[own], hi - lo
+                    grams[at], context, own + rows.start, lo - firsts[own], span, place, *halves
                 ))
             if not found:
                 continue
-            anchor, context, row, lo, span = map(np.concatenate, zip(*found))
+            anchor, context, row, lo, span, place, before, behind = map(np.concatenate, zip(*found))
             doc = ids[row]
             if np.any(doc[1:] < doc[:-1]):
                 order = np.argsort(doc, kind="stable")
-                anchor, context, row, lo, span, doc = (
-                    x[order] for x in (anchor, context, row, lo, span, doc)
+                anchor, context, row, lo, span, place, before, behind, doc = (
+                    x[order] for x in (anchor, context, row, lo, span, place, before, behind, doc)
                 )
             _, first, which = np.unique(context, return_index=True, return_inverse=True)
             later = _later(rule, doc, lo, first[which])
             yield from _removed(doc[later], keys[row[later]], lo[later], span[later], buckets)
             stay = ~later
             yield from _pack(
-                OCCURRENCE, (anchor[stay] % np.uint64(buckets)).astype(np.int64), ids, keys,
-                row[stay], lo[stay], span[stay], anchor[stay] >> np.uint64(32), context[stay],
+                OCCURRENCE, _bucket(anchor[stay], buckets), ids, keys, row[stay], lo=lo[stay],
+                span=span[stay], anchor=anchor[stay] >> np.uint64(32), place=place[stay],
+                before=before[stay], behind=behind[stay], code=context[stay],
             )
 
     return run
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Is each value one of the sorted ``known``."""
+    if len(known) == 0:
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _compare_contexts(rule: Rule, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = []
@@ -203,29 +244,36 @@ def _compare_contexts(rule: Rule, buckets: int):
         got = _packs(packed)
         del packed
         order = np.lexsort((got["lo"], got["ids"]))
-        doc, keys, lo, span, context = (
-            got[n][order] for n in ("ids", "keys", "lo", "span", "context")
+        doc, keys, lo, span, place, context = (
+            got[n][order] for n in ("ids", "keys", "lo", "span", "place", "code")
         )
-        anchor = (got["bucket"] << 32 | got["anchor"].astype(np.int64))[order]
+        anchor = (got["bucket"] << 32 | got["anchor"].astype(np.int64))[order].view(np.uint64)
+        halves = [got[n][order] for n in ("before", "behind")]
         del got
         if len(doc) == 0:
             return
         _, first, which = np.unique(context, return_index=True, return_inverse=True)
         later = _later(rule, doc, lo, first[which])
         yield from _removed(doc[later], keys[later], lo[later], span[later], buckets)
-        seen, at, counts = np.unique(anchor[first], return_inverse=True, return_counts=True)
-        shared = seen[counts > 1]
-        if len(shared) == 0:
+        lone = np.zeros(len(doc), dtype=bool)
+        lone[first] = True
+        begin, size = _around(rule, place.astype(np.int64), span)
+        found: list[tuple] = []
+        for side, half in enumerate(halves):
+            code = mixed(mixed(anchor + np.uint64(side << 63)) + half)
+            seen, counts = np.unique(code[lone & (half > 0)], return_counts=True)
+            want = np.flatnonzero(~later & (half > 0))
+            want = want[_among(code[want], seen[counts > 1])]
+            found.append((want, lo[want] + begin[side][want], size[side][want], code[want]))
+        at, lo, span, code = map(np.concatenate, zip(*found))
+        order = np.argsort(at, kind="stable")
+        doc, keys, lo, span, code = doc[at[order]], keys[at[order]], lo[order], span[order], code[order]
+        if len(doc) == 0:
             return
-        spot = np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)
-        want = np.flatnonzero(~later & (shared[spot] == anchor))
-        doc, keys = doc[want], keys[want]
         row = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])]))
         heads = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
-        # the context column carries the bucket of the anchor
         yield from _pack(
-            WANTED, _row_bucket(keys, buckets), doc[heads], keys[heads], row, lo[want],
-            span[want], anchor[want] & 0xFFFFFFFF, (anchor[want] >> 32).astype(np.uint64),
+            WANTED, _bucket(keys, buckets), doc[heads], keys[heads], row, lo=lo, span=span, code=code
         )
 
     return run
@@ -241,9 +289,9 @@ def _per_document(columns: list[str]):
             return
         values = {"lo": got["lo"], "hi": got["lo"] + got["span"]}
         ranks = [got["lo"], got["keys"], got["ids"]]
-        if "anchor" in columns:
-            values["anchor"] = got["context"].astype(np.int64) << 32 | got["anchor"].astype(np.int64)
-            ranks.insert(0, values["anchor"])
+        if "code" in columns:
+            values["code"] = got["code"]
+            ranks.insert(0, values["code"])
         order = np.lexsort(ranks)
         ids, keys = got["ids"][order], got["keys"][order]
         values = {name: value[order] for name, value in values.items()}
@@ -264,7 +312,7 @@ def _per_document(columns: list[str]):
     return run
 
 
-def _send_contexts(rule: Rule):
+def _send_parts(rule: Rule, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = _ints(batch, "_id"), _ints(batch, "_key")
@@ -273,72 +321,97 @@ def _send_contexts(rule: Rule):
             for rows, data, offsets in blocks(batch.column("text")):
                 _, firsts, spans = read_symbols(rule, data, offsets)
                 for i in range(rows.start, rows.stop):
-                    lo = np.frombuffer(batch.column("lo")[i].as_buffer(), dtype=np.int64)
-                    hi = np.frombuffer(batch.column("hi")[i].as_buffer(), dtype=np.int64)
-                    anchor = np.frombuffer(batch.column("anchor")[i].as_buffer(), dtype=np.int64)
+                    lo, hi = (np.frombuffer(batch.column(n)[i].as_buffer(), dtype=np.int64) for n in ("lo", "hi"))
+                    code = np.frombuffer(batch.column("code")[i].as_buffer(), dtype=np.uint64)
                     alone = np.concatenate(  # repeated rows ask twice
-                        [[True], (lo[1:] != lo[:-1]) | (anchor[1:] != anchor[:-1])]
+                        [[True], (lo[1:] != lo[:-1]) | (code[1:] != code[:-1])]
                     )
-                    lo, hi, anchor = lo[alone], hi[alone], anchor[alone]
+                    lo, hi, code = lo[alone], hi[alone], code[alone]
                     base = firsts[i - rows.start]
                     if spans is None:
                         a, b = base + lo, base + hi
                     else:
                         a, b = spans[0][base + lo], spans[1][base + hi - 1]
                     pieces += [data[x:y].tobytes() for x, y in zip(a, b)]
-                    found.append((np.full(len(lo), i), lo, b - a, anchor))
+                    found.append((np.full(len(lo), i), lo, hi - lo, b - a, code))
             if not found:
                 continue
-            row, lo, size, anchor = map(np.concatenate, zip(*found))
-            order = np.argsort(anchor, kind="stable")
-            row, lo, size, anchor = row[order], lo[order], size[order], anchor[order]
-            bucket = anchor >> 32
+            row, lo, span, size, code = map(np.concatenate, zip(*found))
+            bucket = _bucket(code, buckets)
+            order = np.argsort(bucket, kind="stable")
+            row, bucket = row[order], bucket[order]
+            items = {
+                "ids": ids[row], "keys": keys[row], "lo": lo[order], "span": span[order],
+                "size": size[order].astype(np.int64), "code": code[order],
+            }
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            columns: dict[str, list] = {n: [] for n in CONTEXT_NAMES}
+            columns: dict[str, list] = {n: [] for n in PART_NAMES}
             for a, b in zip(cuts[:-1], cuts[1:]):
                 columns["bucket"].append(int(bucket[a]))
-                columns["ids"].append(ids[row[a:b]].tobytes())
-                columns["keys"].append(keys[row[a:b]].tobytes())
-                columns["lo"].append(lo[a:b].tobytes())
-                columns["size"].append(size[a:b].astype(np.int64).tobytes())
-                columns["anchor"].append(anchor[a:b].tobytes())
+                for name, values in items.items():
+                    columns[name].append(values[a:b].tobytes())
                 columns["data"].append(b"".join(pieces[x] for x in order[a:b]))
-            types = [pa.int32()] + [pa.binary()] * 6
+            types = [pa.int32()] + [pa.binary()] * (len(PART_NAMES) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[n], t) for n, t in zip(CONTEXT_NAMES, types)], CONTEXT_NAMES
+                [pa.array(columns[n], t) for n, t in zip(PART_NAMES, types)], PART_NAMES
             )
 
     return run
 
 
-def _settle_contexts(settle: Settle, buckets: int):
+def _settle_parts(rule: Rule, settle: Settle, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list] = {n: [] for n in CONTEXT_NAMES[1:]}
+        kinds = {"code": np.uint64, "data": np.uint8}
+        parts: dict[str, list] = {n: [] for n in PART_NAMES[1:]}
         for batch in batches:
             for r in range(batch.num_rows):
                 for name in parts:
-                    kind = np.uint8 if name == "data" else np.int64
+                    kind = kinds.get(name, np.int64)
                     parts[name].append(np.frombuffer(batch.column(name)[r].as_buffer(), dtype=kind))
         if not parts["ids"]:
             return
         flat = {n: np.concatenate(v) for n, v in parts.items()}
         parts.clear()
-        start = np.concatenate([[0], np.cumsum(flat["size"])[:-1]])
-        order = np.argsort(flat["anchor"], kind="stable")
-        ids, keys, lo, size, anchor = (flat[n][order] for n in ("ids", "keys", "lo", "size", "anchor"))
+        data = flat.pop("data")
+        stop = np.cumsum(flat["size"])
+        flat["start"] = stop - flat["size"]
+        flat["same"] = mixed(_hashes(data, flat["start"], stop) + mixed(flat["code"]))
+        order = np.lexsort((flat["lo"], flat["ids"], flat["code"]))
+        flat = {n: values[order] for n, values in flat.items()}
+        _, first, which = np.unique(flat["same"], return_index=True, return_inverse=True)
+        later = _later(rule, flat["ids"], flat["lo"], first[which])
+        yield from _removed(*(flat[n][later] for n in ("ids", "keys", "lo", "span")), buckets)
+        seen, counts = np.unique(flat["code"][first], return_counts=True)
+        left = ~later & _among(flat["code"], seen[counts > 1])
+        ids, keys, lo, size, code, start = (
+            flat[n][left] for n in ("ids", "keys", "lo", "size", "code", "start")
+        )
+        del flat
+        if len(ids) == 0:
+            return
         offsets = np.concatenate([[0], np.cumsum(size)])
-        spot = np.repeat(start[order] - offsets[:-1], size) + np.arange(offsets[-1])
-        data = flat.pop("data")[spot]
-        del spot, flat
-        which, a, b = settle(ids, keys, lo, data, offsets, anchor)
+        data = data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
+        which, a, b = settle(ids, keys, lo, data, offsets, code)
         yield from _removed(ids[which], keys[which], lo[which] + a, b - a, buckets)
 
     return run
 
 
-def shards(offsets: np.ndarray, anchor: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of contexts of about ``size`` bytes; the contexts of one anchor stay together."""
-    groups = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+def _hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each of adjoining pieces, a block of them at a time."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        upto = max(int(np.searchsorted(stop, start[at] + BLOCK_BYTES, side="right")), at + 1)
+        sums = Sums(data[start[at] : stop[upto - 1]])
+        out[at:upto] = sums.spans(start[at:upto] - start[at], stop[at:upto] - start[at])
+        at = upto
+    return out
+
+
+def shards(offsets: np.ndarray, code: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of parts of about ``size`` bytes; the parts of one code stay together."""
+    groups = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
     at = 0
     while at < len(groups) - 1:
         limit = offsets[groups[at]] + size
@@ -360,32 +433,31 @@ def mark_repeats(docs: DataFrame, rule: Rule, settle: Settle) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("_key"), "text",
     )
     tasks = task_count(docs, F.octet_length("text"))
-    buckets = 4 * tasks
-    occurrences = rows.select("_id", "_key", "text").mapInArrow(_find_occurrences(rule, buckets), PACK)
+    occurrences = rows.select("_id", "_key", "text").mapInArrow(_find_occurrences(rule, tasks), PACK)
     compared = stored(
-        occurrences.repartition(tasks, "bucket").mapInArrow(_compare_contexts(rule, buckets), PACK),
+        occurrences.repartitionById(tasks, "bucket").mapInArrow(_compare_contexts(rule, tasks), PACK),
         "repeats",
     )
     wanted = (
         compared.where(F.col("kind") == WANTED)
-        .repartition(tasks, "bucket")
+        .repartitionById(tasks, "bucket")
         .mapInArrow(
-            _per_document(["lo", "hi", "anchor"]),
-            "_id long, _key long, lo binary, hi binary, anchor binary",
+            _per_document(["lo", "hi", "code"]),
+            "_id long, _key long, lo binary, hi binary, code binary",
         )
     )
     key = ["_id", "_key"]
     settled = (
         rows.join(wanted.hint("merge"), key)
-        .select("doc_id", "_id", "_key", "text", "lo", "hi", "anchor")
-        .mapInArrow(_send_contexts(rule), CONTEXTS)
-        .repartition(tasks, "bucket")
-        .mapInArrow(_settle_contexts(settle, buckets), PACK)
+        .select("doc_id", "_id", "_key", "text", "lo", "hi", "code")
+        .mapInArrow(_send_parts(rule, tasks), PARTS)
+        .repartitionById(tasks, "bucket")
+        .mapInArrow(_settle_parts(rule, settle, tasks), PACK)
     )
     removed = (
         compared.where(F.col("kind") == REMOVED)
         .unionByName(settled)
-        .repartition(tasks, "bucket")
+        .repartitionById(tasks, "bucket")
         .mapInArrow(_merge_removed, "_id long, _key long, lo binary, hi binary")
     )
     return rows.join(removed.hint("merge"), key, "left").select("doc_id", *key, "text", "lo", "hi")
