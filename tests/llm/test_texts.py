@@ -162,11 +162,21 @@ def test_common_lines_deplete(spark):
     common = "this very line stands on every single page of the host again and again and so on for ever and ever"
     rows = [(i, "h", f"{common}\nx{i}") for i in range(30)] + [(99, "h", f"{common}\n{own(1)} {own(2)}")]
     rows += [(200 + i, "other", f"{common}\n{own(i)}") for i in range(3)]
-    got = {r.doc_id: r for r in quality.judge(line_docs(spark, rows), min_texts=10).collect()}
+    got = {r.doc_id: r for r in quality.judge(line_docs(spark, rows), min_docs=10).collect()}
     assert not got[0].kept and got[0].removed_words == 21
     assert got[99].kept and got[200].kept and got[200].removed_words == 0
 
 
+def test_copies_under_many_ids_are_documents(spark):
+    page = "this page stands under many ids of one host\nand all of its lines are the same as ever"
+    rows = [(i, "h", page) for i in range(20)] * 2 + [(50, "few", page)] * 20 + [(None, "few", page)] * 20
+    got = quality.judge(line_docs(spark, rows), min_docs=10).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id is not None and r.doc_id < 20, r.kept, r.removed_words) for r in got} == {
+        (True, False, 19), (False, True, 0)
+    }
+
+
 # --- 4: chat
 
 TURNS = "conv_id long, turn long, role string, text string, speaker string, part string"
@@ -177,41 +187,53 @@ def test_each_speaker_in_turn(spark):
             (1, None, "ann", None), (2, 0, "system", "alone"), (None, 5, "eve", "lost"), (None, 6, " ", "x")]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], TURNS)
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate_perspectives(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", None), (1, "bob", None), (None, "eve", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "eve", 0)}
     ann = got[1, "ann", 0]
     assert ann.text == (
         "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n"
         "<|im_start|>user name=bob\nHello<|im_end|>\n<|im_start|>user name=unknown\n?<|im_end|>\n"
+        "<|im_start|>assistant\n<|im_end|>\n"
     )
     at, trained = 0, ""
     for run in ann.mask:
         trained += ann.text[at : at + run.chars] if run.trained else ""
         at += run.chars
-    assert at == len(ann.text) and trained == "Hi<|im_end|>"
-    assert (ann.n_turns, ann.n_trained) == (4, 1)
-    assert got[1, "ann", None].n_trained == 1
-
-
-def test_crowded_parts_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(chat, "PART_ROWS", 10)
-    df = spark.createDataFrame([(1, 0, "a" if i % 2 else "b", f"t{i}", "", "") for i in range(100)], TURNS)
-    got = chat.rotate_perspectives(df).collect()
-    assert sum(r.n_turns for r in got) == 200 and len(got) > 10
+    assert at == len(ann.text) and trained == "Hi<|im_end|><|im_end|>"
+    assert (ann.n_turns, ann.n_trained) == (5, 2)
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
-
-
-def test_pieces_are_runs_in_order(spark, monkeypatch):
-    rows = [(i % 2 or None, None if i % 5 == 0 else i % 3, "a" if i % 2 else "b", f"t{i // 4:03}", "", "") for i in range(300)]
-    df = spark.createDataFrame(rows, TURNS).repartition(7)
-    whole = {(r.conv_id, r.speaker, r.part): r.text for r in chat.rotate_perspectives(df).collect()}
-    monkeypatch.setattr(chat, "PART_ROWS", 10)
-    pieces = {}
-    for r in sorted(chat.rotate_perspectives(df).collect(), key=lambda r: r.piece):
-        pieces.setdefault((r.conv_id, r.speaker, r.part), []).append(r)
-    assert {k: "".join(r.text for r in v) for k, v in pieces.items()} == whole
-    assert all(r.n_turns == 10 for v in pieces.values() for r in v[:-1])
-    assert all([r.piece for r in v] == list(range(len(v))) for v in pieces.values())
-    assert max(map(len, pieces.values())) > 3
+    assert {r.n_turns for r in chat.rotate_perspectives(df, system=()).where("conv_id = 1").collect()} == {5}
+
+
+def plain_parts(rows, size):
+    """(conv, speaker, part) -> (n_turns, n_trained, text) of rows (conv, turn, role, text)."""
+    convs, out = {}, {}
+    for row in rows:
+        convs.setdefault(row[0], []).append(row)
+    for conv, turns in convs.items():
+        turns.sort(key=lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or "", r[3]))
+        for speaker in {r[2] for r in turns} - {None, "system"}:
+            for part in range(-(-len(turns) // size)):
+                held = [r[2:4] for r in turns[part * size : (part + 1) * size]]
+                scenes = [r[2:4] for r in turns[: part * size] if r[2] == "system"]
+                held = scenes[-1:] + held
+                text = ""
+                for role, said in held:
+                    name = "assistant" if role == speaker else "system" if role == "system" else f"user name={role or 'unknown'}"
+                    text += f"<|im_start|>{name}\n{said}<|im_end|>\n"
+                out[conv, speaker, part] = (len(held), sum(role == speaker for role, _ in held), text)
+    return out
+
+
+def test_parts_are_runs_in_order_with_their_setting(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 10)
+    rng = random.Random(4)
+    roles = ["a", "b", "b", "system", None]
+    rows = [(rng.choice([1, 1, None]), rng.choice([None, 0, 1, 300, 300, 7000]), rng.choice(roles), f"t{i // 3}")
+            for i in range(400)]
+    rows += [(2, 300 * i, "ab"[i % 2], f"sparse {i}") for i in range(12)] + [(3, 0, "a", "same")] * 25
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], TURNS).repartition(7)
+    got = {(r.conv_id, r.speaker, r.part): (r.n_turns, r.n_trained, r.text) for r in chat.rotate_perspectives(df).collect()}
+    assert got == plain_parts(rows, 10)
 
 
 # --- 5: mixing

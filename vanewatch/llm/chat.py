@@ -4,10 +4,11 @@ For every speaker of a conversation the dialogue is rendered with that speaker a
 and all others as named users. The mask runs over the rendered characters: only what the chosen
 speaker says is trained on. System turns set the scene in every rendering; they are no speaker.
 
-A dialogue is rendered in parts of ``PART_TURNS`` turn numbers, so a conversation of any length
-spreads over tasks. Should turn numbers repeat so often that a part still grows past
-``PART_ROWS`` rows, it is cut into pieces: runs of that many turns in the order of the dialogue. The
-turns of such parts are dealt out by ranges of that order and numbered range by range.
+A dialogue is rendered in parts of ``PART_TURNS`` turns, so a conversation of any length spreads
+over tasks. Turns are numbered in order: all rows are dealt out by ranges of (conversation, order),
+numbered range by range, and shifted by the counts of earlier ranges. Every part but the first
+opens with the last system turn before it, so each has the setting in force, at a cost that does
+not depend on how many system turns there are.
 
 Defined results: turns are ordered by number, nulls last, then role, then text; a null text is
 empty; a null or blank role is a user called ``unknown`` and no participant; turns without a
@@ -16,15 +17,12 @@ conversation id form one conversation; a conversation without speakers gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanewatch.llm.common import stored
-from vanewatch.operators.joins import broadcast_within
-from vanewatch.operators.ranking import numbered
 
 PART_TURNS = 256
-PART_ROWS = 2048
 SYSTEM = ("system",)
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -42,51 +40,80 @@ def _head(role: Column, speaker: Column, system: tuple[str, ...]) -> Column:
     return F.concat(F.lit(START), name, F.lit("\n"))
 
 
-def _runs(crowded: DataFrame) -> DataFrame:
-    """``crowded`` with its piece: the number of a run of ``PART_ROWS`` turns in order."""
-    order = [F.col("turn").isNull(), "turn", F.col("role").isNull(), "role", "text"]
+def _in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``_at``, from 0 in each conversation, and ``_setting``, the last system text before."""
     # equal turns may go anywhere, so a salt parts them
-    dealt = crowded.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(
-        "conv_id", "part", *order, "_salt"
+    dealt = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(
+        "_conv", *order, "_salt"
+    )
+    ranged = stored(dealt.drop("_salt").withColumn("_range", F.spark_partition_id()), "ordered-turns")
+    inside = Window.partitionBy("_conv", "_range").orderBy(*order)
+    before = Window.unboundedPreceding, -1
+    earlier = Window.partitionBy("_conv").orderBy("_range").rowsBetween(*before)
+    scene = F.when(F.col("_system"), F.col("text"))
+    ranges = (
+        ranged.groupBy("_conv", "_range")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max_by("text", F.when(F.col("_system"), F.struct(*order))).alias("_last"),
+        )
+        .select(
+            "_conv", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+            F.last("_last", ignorenulls=True).over(earlier).alias("_scene"),
+        )
+    )
+    return (
+        ranged.withColumn("_local", F.row_number().over(inside))
+        .withColumn("_setting", F.last(scene, ignorenulls=True).over(inside.rowsBetween(*before)))
+        .join(ranges, ["_conv", "_range"])
+        .withColumn("_at", F.col("_offset") + F.col("_local") - 1)
+        .withColumn("_setting", F.coalesce("_setting", "_scene"))
+        .drop("_range", "_local", "_offset", "_scene")
     )
-    ranged = stored(dealt.drop("_salt").withColumn("_range", F.spark_partition_id()), "crowded-turns")
-    ranked = numbered(ranged, ["conv_id", "part"], F.col("_range"), order, "_at")
-    return ranked.withColumn("piece", F.floor((F.col("_at") - 1) / PART_ROWS)).drop("_range", "_at")
 
 
 def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> DataFrame:
     """One row per conversation, speaker and part.
 
-    Columns: conv_id, speaker, part, piece, n_turns, n_trained, text, and mask, an array of
-    (chars, trained) runs that covers the text from start to end.
+    Columns: conv_id, speaker, part, n_turns, n_trained, text, and mask, an array of
+    (chars, trained) runs that covers the text from start to end. n_turns counts what is
+    rendered, a repeated system turn too.
     """
     blank = F.trim(F.coalesce("role", F.lit(""))) == ""
-    rows = turns.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"),
-        F.when(~blank, F.col("role")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("part", F.floor(F.col("turn") / PART_TURNS))
-    crowded = stored(
-        rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > PART_ROWS)
-        .select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part")),
-        "crowded-parts",
-    )
-    cut = rows.withColumn("piece", F.lit(0).cast("long"))
-    if not crowded.isEmpty():
-        same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part"))
-        crowded = broadcast_within(crowded)
-        cut = cut.join(crowded, same, "left_anti").unionByName(_runs(rows.join(crowded, same, "left_semi")))
-    order = F.struct(
-        F.col("turn").isNull().alias("late"), "turn", F.col("role").isNull().alias("nameless"),
-        "role", "text",
+    rows = (
+        turns.select(
+            F.struct("conv_id").alias("_conv"), F.col("turn").cast("long").alias("turn"),
+            F.when(~blank, F.col("role")).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        )
+        .withColumn("_system", _is_system(F.col("role"), system))
     )
-    parts = cut.groupBy("conv_id", "part", "piece").agg(
-        F.array_sort(F.collect_list(order)).alias("_turns")
+    order = [F.col("turn").isNull(), F.col("turn"), F.col("role").isNull(), F.col("role"), F.col("text")]
+    opens = (F.col("_at") > 0) & (F.col("_at") % PART_TURNS == 0)
+    parts = (
+        _in_order(rows, order)
+        .withColumn("part", F.floor(F.col("_at") / PART_TURNS))
+        .groupBy("_conv", "part")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("_at", "role", "text"))).alias("_turns"),
+            F.max(F.when(opens, F.col("_setting"))).alias("_scene"),
+        )
+        .withColumn(
+            "_turns",
+            F.when(F.col("_scene").isNull(), F.col("_turns")).otherwise(
+                F.concat(
+                    F.array(F.struct(
+                        F.lit(-1).cast("long").alias("_at"), F.lit(system[0] if system else None).cast("string").alias("role"),
+                        F.col("_scene").alias("text"),
+                    )),
+                    "_turns",
+                )
+            ),
+        )
     )
     speakers = (
-        rows.where(F.col("role").isNotNull() & ~_is_system(F.col("role"), system))
-        .select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker"))
+        rows.where(F.col("role").isNotNull() & ~F.col("_system"))
+        .select("_conv", F.col("role").alias("speaker"))
         .distinct()
     )
     said = F.transform(
@@ -111,10 +138,10 @@ def rotate_perspectives(turns: DataFrame, system: tuple[str, ...] = SYSTEM) -> D
         F.transform("_said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), ""
     )
     return (
-        parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv")))
+        parts.join(speakers, "_conv")
         .withColumn("_said", said)
         .select(
-            "conv_id", "speaker", "part", "piece",
+            F.col("_conv.conv_id").alias("conv_id"), "speaker", "part",
             F.size("_said").cast("long").alias("n_turns"),
             F.size(F.filter("_said", lambda s: s["own"])).cast("long").alias("n_trained"),
             whole.alias("text"), runs.alias("mask"),

@@ -10,14 +10,25 @@ from vanewatch.llm.common import table
 from vanewatch.llm.registry import query
 
 SQL = r"""
-WITH turns AS (
+WITH given AS (
   SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) <> '' THEN role END AS role,
-         coalesce(text, '') AS text, floor(turn / 256.0)::BIGINT AS part
+         coalesce(text, '') AS text
   FROM conversations
+), ordered AS (
+  SELECT *, row_number() OVER w - 1 AS nth,
+         last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS)
+           OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS setting
+  FROM given
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text)
+), turns AS (
+  SELECT conv_id, nth // 256 AS part, nth, role, text FROM ordered
+  UNION ALL
+  SELECT conv_id, nth // 256, nth - 0.5, 'system', setting FROM ordered
+  WHERE nth > 0 AND nth % 256 = 0 AND setting IS NOT NULL
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role IS NOT NULL AND role <> 'system'
 ), said AS (
-  SELECT t.conv_id, s.speaker, t.part, t.turn, t.role, t.text,
+  SELECT t.conv_id, s.speaker, t.part, t.nth, t.role, t.text,
          coalesce(t.role = s.speaker, false) AS own,
          '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant'
            WHEN t.role = 'system' THEN 'system'
@@ -26,9 +37,9 @@ WITH turns AS (
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 )
 SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (own) AS n_trained,
-       string_agg(head || body || chr(10), '' ORDER BY turn NULLS LAST, role NULLS LAST, text) AS text,
+       string_agg(head || body || chr(10), '' ORDER BY nth) AS text,
        string_agg(length(head) || ':0 ' || length(body) || CASE WHEN own THEN ':1' ELSE ':0' END
-                  || ' 1:0', ' ' ORDER BY turn NULLS LAST, role NULLS LAST, text) AS mask
+                  || ' 1:0', ' ' ORDER BY nth) AS mask
 FROM said GROUP BY conv_id, speaker, part
 """
 

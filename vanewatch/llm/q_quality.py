@@ -33,10 +33,10 @@ WITH docs AS (
   SELECT *, len(lw) AS n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') AS norm FROM lines WHERE len(lw) > 0
 ), limits AS (
-  SELECT source, greatest(100, floor(count(DISTINCT text) * 0.02)) AS most FROM docs GROUP BY source
+  SELECT source, greatest(100, floor(count(DISTINCT (doc_id, text)) * 0.02)) AS most FROM docs GROUP BY source
 ), common AS (
   SELECT s.source, s.norm FROM solid s JOIN limits l ON s.source IS NOT DISTINCT FROM l.source
-  GROUP BY s.source, s.norm, l.most HAVING count(DISTINCT s.text) > l.most
+  GROUP BY s.source, s.norm, l.most HAVING count(DISTINCT (s.doc_id, s.text)) > l.most
 ), per_doc AS (
   SELECT s.row_no, count(*) FILTER (s.nth > 1) AS n_dup_lines,
          coalesce(sum(s.n) FILTER (c.norm IS NOT NULL), 0) AS removed_words

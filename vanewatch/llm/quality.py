@@ -1,16 +1,16 @@
 """Quality rules: figures of each text, and how often its lines recur on its host.
 
 Every text is measured once. Lines are hashed with their words in lower case and white space
-folded; per (line, host) the distinct texts that hold the line are counted, so a page mirrored
-word for word counts once. A line on more texts of a host than its limit is taken out, and a
-document that keeps too few words is rejected.
+folded; per (line, host) the distinct documents that hold the line are counted, rows of one id
+and one text once. A line in more documents of a host than its limit is taken out, and a document
+that keeps too few words is rejected.
 
 The count is a two-step aggregation on narrow rows with a map-side combine. The limit of a host
-is the larger of ``MIN_TEXTS`` and ``HOST_SHARE`` of its texts.
+is the larger of ``MIN_DOCS`` and ``HOST_SHARE`` of its documents.
 
 Defined results: a null text has no words; a null host is one host; lines without a word are
-never counted; a null id, repeated rows and equal ids are judged by their own text and host; an
-empty table gives no rows.
+never counted; null ids count as one id; a null id, repeated rows and equal ids are judged by
+their own text and host; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from vanewatch.operators.joins import broadcast_within
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
-MIN_TEXTS = 100
+MIN_DOCS = 100
 HOST_SHARE = 0.02
 #: A document whose remaining words are fewer than MIN_WORDS or this share is depleted.
 LEFT_PERCENT = 30
@@ -153,7 +153,7 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 def judge(
     docs: DataFrame,
     host: str = "source",
-    min_texts: int = MIN_TEXTS,
+    min_docs: int = MIN_DOCS,
     host_share: float = HOST_SHARE,
 ) -> DataFrame:
     """Figures and verdict of every document.
@@ -162,18 +162,18 @@ def judge(
     kept, removed_words.
     """
     known = stored(figures(docs, host), "line-figures")
-    texts = known.select("host", "text_key", "lines").dropDuplicates(["host", "text_key"])
+    held = known.select("host", "doc_id", "text_key", "lines").dropDuplicates(["host", "doc_id", "text_key"])
     limits = broadcast_within(
-        texts.groupBy("host").agg(F.count(F.lit(1)).alias("_texts")).select(
+        held.groupBy("host").agg(F.count(F.lit(1)).alias("_docs")).select(
             F.col("host").alias("_host"),
-            F.greatest(F.lit(min_texts), F.floor(F.col("_texts") * F.lit(host_share))).alias("_limit"),
+            F.greatest(F.lit(min_docs), F.floor(F.col("_docs") * F.lit(host_share))).alias("_limit"),
         )
     )
     common = stored(
-        texts.select("host", F.explode("lines").alias("line"))
+        held.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > min_texts)
+        .where(F.col("_n") > min_docs)
         .join(limits, F.col("host").eqNullSafe(F.col("_host")))
         .where(F.col("_n") > F.col("_limit"))
         .select("_host", F.col("line").alias("_line")),
