@@ -74,3 +74,29 @@ def test_error_is_no_higher_than_that_of_a_fine_grid(spark, seed):
 def test_no_series(spark):
     empty = spark.createDataFrame([], "farm string, asset_id long, n_days long, values array<double>")
     assert health.trend_optimum(empty).count() == 0
+
+
+def test_few_series_are_dealt_over_the_cores(spark):
+    """One partition of small rows must not be one task of long fits."""
+    arrays = spark.createDataFrame(
+        [("A", i, 20, [float(i + d % 3) for d in range(20)]) for i in range(64)],
+        "farm string, asset_id long, n_days long, values array<double>",
+    ).coalesce(1)
+    fitted = health.trend_optimum(arrays)
+    assert fitted.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert fitted.count() == 64
+
+
+def test_a_component_reads_its_trends_from_a_table(spark):
+    """The report, the scores and the store all read the fits; none may fit them again."""
+    from vanewatch.plans import training
+
+    rows = [("A", a, d * 86400, 0, f"{d % 2}", float(a + d)) for a in range(2) for d in range(25)]
+    features = spark.createDataFrame(
+        rows, "farm string, asset_id long, s long, status_type_id int, event_id string, x_avg_24h double",
+    ).selectExpr("farm", "asset_id", "timestamp_seconds(s) AS time_stamp", "CAST(NULL AS string) AS event_id", "x_avg_24h")
+    faults = spark.createDataFrame([], "farm string, event_id string, category string, event_start timestamp, asset_id long")
+    labels = spark.createDataFrame([], "farm string, asset_id long, time_stamp timestamp, event_id string, hours_to_failure double")
+    models = training.train_component(features, faults, labels, "c", 20, 1, 1)
+    plan = models.trends._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and models.trends.count() == 2
