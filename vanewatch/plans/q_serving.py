@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vanewatch.domain import RETENTION_DAYS
 from vanewatch.functions import bands, labels
+from vanewatch.functions.means import exact_mean
 from vanewatch.operators import alerting, extras, health, scoring, serving
 from vanewatch.plans import fleet_view as fv
 from vanewatch.plans.fleet_view import sql
@@ -253,8 +254,8 @@ def risk_flag(spark, sf_dir):
 def forecast_rows(spark, sf_dir):
     """Per asset a three-point series made of its aggregates, with quantile spreads."""
     agg = fv.scada(spark, sf_dir).groupBy("farm", "asset_id").agg(
-        F.min("sensor_1_avg").alias("lo"), F.avg("sensor_1_avg").alias("mid"), F.max("sensor_1_avg").alias("hi"),
-        F.max("time_stamp").alias("as_of"),
+        F.min("sensor_1_avg").alias("lo"), exact_mean("sensor_1_avg").alias("mid"),
+        F.max("sensor_1_avg").alias("hi"), F.max("time_stamp").alias("as_of"),
     )
     return agg.withColumn("values", F.array("lo", "mid", "hi"))
 
