@@ -97,6 +97,42 @@ def test_empty_table(spark):
     assert signatures.near_groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_in_one_task_and_dealt_out(spark, few):
+    rng = random.Random(few)
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long"), few_edges=few).collect()}
+    least = {n: n for a, b in pairs if a != b for n in (a, b)}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+
+
+def test_members_differ_from_one_centre(spark, monkeypatch):
+    """Long lists led from one component are posted under one leader, each member once."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(110)]
+    edits = [(rng.randrange(110), f"e{i}") for i in range(30)]
+    rows = []
+    for n in range(400):
+        text = list(base)
+        for at, word in rng.sample(edits, rng.choice([0, 1, 2, 3, 4, 5, 6])):
+            text[at] = word
+        rows.append((n, " ".join(text)))
+    seen, plain = [], signatures._posted_differences
+
+    def spied(led, texts, percent):
+        seen.append((led.count(), led.select("rep").distinct().count()))
+        return plain(led, texts, percent)
+
+    monkeypatch.setattr(signatures, "_posted_differences", spied)
+    got = signatures.near_groups(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+    assert seen and seen[0][0] <= 2 * seen[0][1]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}

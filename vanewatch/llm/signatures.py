@@ -180,7 +180,7 @@ def _confirmed(percent: int):
     return run
 
 
-DIFFERENCES = "rep long, own long, lead long, outside boolean, n_rep long, n_lead long, shingle long"
+DIFFERENCES = "rep long, own long, lead long, apart long, outside boolean, n_rep long, n_lead long, shingle long"
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +193,12 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = (np.bincount(held, minlength=n)[pair] for held in (held_a, held_b))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(piece.column(c).to_numpy()[pair]) for c in ("a", "own", "b")),
+                    *(pa.array(piece.column(c).to_numpy()[pair]) for c in ("a", "own", "b", "apart")),
                     pa.array(np.asarray(piece.column("outside").to_pylist(), dtype=bool)[pair]),
                     *(pa.array(size.astype(np.int64)) for size in sizes),
                     pa.array(np.concatenate([hashes_a[own], hashes_b[lacked]]).view(np.int64)),
                 ],
-                ["rep", "own", "lead", "outside", "n_rep", "n_lead", "shingle"],
+                ["rep", "own", "lead", "apart", "outside", "n_rep", "n_lead", "shingle"],
             )
 
 
@@ -212,7 +212,9 @@ def _posted_differences(led: DataFrame, texts: DataFrame, percent: int) -> DataF
     """Members under the rarest shingles that only they or their leader hold; see ``_across``.
 
     ``led`` has rep, apart, lead and outside; the last tells members of another component than
-    their leader. A shingle is left out if no member outside differs from the leader by it.
+    their leader. A shingle that nobody else differs by, or no member outside, is in no overlap
+    that is looked for: it goes first in the order of the prefixes, without a posting, and is
+    counted and set in the bits only.
     """
     r = (100 - percent) / (100 + percent)
     spread = stored(
@@ -220,37 +222,39 @@ def _posted_differences(led: DataFrame, texts: DataFrame, percent: int) -> DataF
         .join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("text_b")), "lead")
         .select(
             F.col("rep").alias("a"), F.xxhash64("text_a", "text_b").alias("own"), F.col("lead").alias("b"),
-            "outside", "text_a", "text_b",
+            "apart", "outside", "text_a", "text_b",
         )
         .mapInArrow(_differences, DIFFERENCES),
         "differences",
     )
-    held = spread.groupBy("lead", "shingle").agg(
+    shared = spread.groupBy("lead", "shingle").agg(
         F.count(F.lit(1)).alias("n"), F.bool_or("outside").alias("needed")
+    ).where("n > 1 AND needed")
+    member = ["rep", "own", "lead"]
+    whole = spread.groupBy(*member, "apart", "n_rep", "n_lead", "outside").agg(
+        F.count(F.lit(1)).cast("int").alias("size"), *[_bits(i).alias(f"bits{i}") for i in range(BIT_WORDS)]
     )
     ranked = (
-        spread.join(held, ["lead", "shingle"])
-        .groupBy("rep", "own", "lead", "n_rep", "n_lead", "outside")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("n", "shingle", "needed"))).alias("shares"),
-            *[_bits(i).alias(f"bits{i}") for i in range(BIT_WORDS)],
-        )
-        .withColumn("size", F.size("shares"))
+        spread.select(*member, "shingle")
+        .join(shared.select("lead", "shingle", "n"), ["lead", "shingle"])
+        .groupBy(*member)
+        .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shares"))
+        .join(whole, member)
+        .withColumn("alone", F.col("size") - F.size("shares"))
     )
     facing_outside = F.floor((F.col("size") + r * (F.col("n_lead") - F.col("n_rep"))) / 2 - SLACK) + 1
     facing_inside = F.ceil(F.col("size") - r * F.col("n_rep") * (1 + 100 / percent) - SLACK)
     overlap = F.when(F.col("outside"), F.least(facing_outside, facing_inside)).otherwise(facing_outside)
-    taken = F.greatest(F.lit(0), F.col("size") - F.greatest(F.lit(1), overlap) + 1).cast("int")
+    taken = F.greatest(
+        F.lit(0), F.col("size") - F.greatest(F.lit(1), overlap) + 1 - F.col("alone")
+    ).cast("int")
     places = F.transform(
         F.slice("shares", F.lit(1), taken),
-        lambda p, at: F.struct(at.alias("at"), p["shingle"].alias("shingle"), p["n"].alias("n"), p["needed"].alias("needed")),
+        lambda p, at: F.struct((F.col("alone") + at).alias("at"), p["shingle"].alias("shingle")),
     )
-    shared = F.filter(places, lambda p: (p["n"] > 1) & p["needed"])
-    kept = ["rep", "lead", "n_rep", "outside", "size", *[f"bits{i}" for i in range(BIT_WORDS)]]
+    kept = ["rep", "lead", "apart", "n_rep", "outside", "size", *[f"bits{i}" for i in range(BIT_WORDS)]]
     return stored(
-        ranked.select(*kept, F.explode(shared).alias("p"))
-        .select(*kept, "p.at", "p.shingle")
-        .join(led.select("rep", "lead", "apart"), ["rep", "lead"]),
+        ranked.select(*kept, F.explode(places).alias("p")).select(*kept, "p.at", "p.shingle"),
         "difference-postings",
     )
 
@@ -385,17 +389,17 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
             else lists.join(found, F.col("rep") == F.col("node"), "left").withColumn(
                 "component", F.coalesce("component", "rep"))
         ).select("pair", "rep", "apart", "component")
-        lead = F.min_by(F.struct("rep", "component"), F.struct("apart", "rep"))
+        lead = F.min_by(F.struct("rep", "apart", "component"), F.struct("apart", "rep"))
         still_open = (
             named.groupBy("pair")
             .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
                  lead.alias("lead"))
             .where("lo < hi")
             .select(F.col("pair").alias("open"), "n", F.col("lead.rep").alias("lead"),
-                    (F.col("lead.component")).alias("lead_component"))
+                    F.col("lead.apart").alias("lead_apart"), F.col("lead.component").alias("lead_component"))
         )
         return named.join(still_open, F.col("pair") == F.col("open")).select(
-            "pair", "rep", "apart", "component", "n", "lead",
+            "pair", "rep", "apart", "component", "n", "lead", "lead_apart", "lead_component",
             (F.col("component") != F.col("lead_component")).alias("outside"),
         )
 
@@ -404,9 +408,22 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
 
     by_leader(lists)
     left = stored(members(lists).where("n > 2 AND rep <> lead"), "open-lists")
-    long = left.where(F.col("n") > SHORT_LIST)
-    led = stored(
-        long.groupBy("rep", "lead").agg(F.min("apart").alias("apart"), F.first("outside").alias("outside")), "led"
+    # Lists led from one component share their members for the most part. One centre stands for all
+    # their leaders, so a member differs from a text once, not from a leader of each of its lists.
+    long = (
+        left.where(F.col("n") > SHORT_LIST)
+        .groupBy("rep", "lead", "lead_apart", "lead_component", "outside")
+        .agg(F.min("apart").alias("apart"))
+    )
+    centres = long.groupBy(F.col("lead_component").alias("held")).agg(
+        F.min_by("lead", F.struct("lead_apart", "lead")).alias("centre")
+    )
+    centred = stored(
+        long.join(broadcast_within(stored(centres, "centres")), F.col("lead_component") == F.col("held"))
+        .groupBy("rep", F.col("centre").alias("lead"))
+        .agg(F.min("apart").alias("apart"), F.first("outside").alias("outside"))
+        .where("rep <> lead"),
+        "centred",
     )
     short = left.where(F.col("n") <= SHORT_LIST)
     other = short.select(*[F.col(c).alias(f"_{c}") for c in ("pair", "rep", "component")])
@@ -414,8 +431,22 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
         short.join(other, (F.col("pair") == F.col("_pair")) & (F.col("rep") > F.col("_rep")))
         .where("component <> _component")
         .select(F.col("rep").alias("a"), F.col("_rep").alias("b"))
+        .unionByName(centred.where("outside").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
         .distinct()
     )
+
+    def component_of(name: str) -> DataFrame:
+        return found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+
+    placed = (
+        centred.drop("outside").join(component_of("rep"), "rep", "left").join(component_of("lead"), "lead", "left")
+        .select("rep", "lead", "apart", (
+            F.coalesce("rep_component", "rep") != F.coalesce("lead_component", "lead")).alias("outside"))
+    )
+    placed = stored(placed, "placed")
+    # Members that are all in one component with their centre have nothing left to find.
+    needed = placed.where("outside").select("lead").distinct()
+    led = stored(placed.join(broadcast_within(needed), "lead", "left_semi"), "led")
     if led.isEmpty():
         return classes, found
     posted = _posted_differences(led, texts, percent)
