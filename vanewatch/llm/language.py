@@ -42,7 +42,8 @@ SMOOTHING = 0.05
 SCORED_BYTES = 1 << 20
 UND = "und"
 
-#: Numerals of any kind, such as fractions and superscripts, are no letters.
+#: Numerals of any kind, such as fractions and superscripts, are no letters. The class is long and a search
+#: tries it at every character, so ``letters_of`` keeps what it leaves, alphabetic characters, by asking for these.
 NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
 NO_LETTER = re.compile(rf"[^\w\n]|[\d_{NUMERALS}]")
 
@@ -93,7 +94,8 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
 def letters_of(words: list[str]) -> list[str]:
     """Each word in lower case with nothing but its letters."""
-    return NO_LETTER.sub("", "\n".join(words).lower()).split("\n") if words else []
+    lowered = "\n".join(words).lower().split("\n") if words else []
+    return [word if word.isalpha() else "".join(filter(str.isalpha, word)) for word in lowered]
 
 
 class Lattice:
