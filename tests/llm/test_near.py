@@ -133,6 +133,31 @@ def test_members_differ_from_one_centre(spark, monkeypatch):
     assert seen and seen[0][0] <= 2 * seen[0][1]
 
 
+def test_lists_of_one_family_share_a_centre(spark, monkeypatch):
+    """Long lists with common members are led from many components, but each member is posted once."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(110)]
+    edits = [(rng.randrange(110), f"e{i}") for i in range(12)]
+    rows = []
+    for n in range(300):
+        text = list(base)
+        for at, word in rng.sample(edits, rng.choice([2, 3, 4, 5])):
+            text[at] = word
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            text[rng.randrange(110)] = f"x{rng.randrange(500)}"
+        rows.append((n, " ".join(text)))
+    seen, plain = [], signatures._posted_differences
+
+    def spied(led, texts, percent):
+        seen.append((led.count(), led.select("rep").distinct().count(), led.select("lead").distinct().count()))
+        return plain(led, texts, percent)
+
+    monkeypatch.setattr(signatures, "_posted_differences", spied)
+    got = signatures.near_groups(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows)
+    assert seen and seen[0][0] == seen[0][1]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}

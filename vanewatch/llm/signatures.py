@@ -13,7 +13,8 @@ hold. Members meet their list's leader, collisions are counted over whole signat
 stays above the threshold is confirmed on the full shingle sets. Confirmed links form components.
 A list whose members are all in one component is skipped from then on. The others are completed
 across components: lists of up to ``SHORT_LIST`` members are compared in full, members of longer
-ones on what they do not have in common with their leader.
+ones on what they do not have in common with a leader. Long lists that are connected by common
+members share one leader, so no member is compared once for each component that leads its lists.
 
 Let D(x) be the shingles that only one of x and the leader holds. Two texts u and v differ in
 |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles, so a link needs a certain overlap of D(u) and D(v). Of
@@ -408,21 +409,34 @@ def near_links(docs: DataFrame, matches: int = MATCHES, percent: int = PERCENT):
 
     by_leader(lists)
     left = stored(members(lists).where("n > 2 AND rep <> lead"), "open-lists")
-    # Lists led from one component share their members for the most part. One centre stands for all
-    # their leaders, so a member differs from a text once, not from a leader of each of its lists.
-    long = (
+    # Lists led from one component share their members for the most part, and lists led from several
+    # components of one family of texts do as well. Lists that are connected by common members form
+    # a cluster with one centre, so a member differs from a text once, whoever leads its lists.
+    long = stored(
         left.where(F.col("n") > SHORT_LIST)
-        .groupBy("rep", "lead", "lead_apart", "lead_component", "outside")
-        .agg(F.min("apart").alias("apart"))
+        .groupBy("rep", "component", "lead", "lead_apart", "lead_component")
+        .agg(F.min("apart").alias("apart")),
+        "long-lists",
     )
-    centres = long.groupBy(F.col("lead_component").alias("held")).agg(
-        F.min_by("lead", F.struct("lead_apart", "lead")).alias("centre")
+    first = long.groupBy(F.col("rep").alias("of")).agg(F.min("lead_component").alias("b"))
+    met = components(
+        long.select("rep", F.col("lead_component").alias("a")).distinct()
+        .join(first, F.col("rep") == F.col("of")).select("a", "b").distinct(),
+        "clusters",
+    ).withColumnsRenamed({"node": "held", "component": "cluster"})
+    clustered = long.join(broadcast_within(met), F.col("lead_component") == F.col("held"), "left").withColumn(
+        "cluster", F.coalesce("cluster", "lead_component")
+    ).drop("held")
+    centres = clustered.groupBy(F.col("cluster").alias("held")).agg(
+        F.min_by(F.struct("lead", "lead_component"), F.struct("lead_apart", "lead")).alias("centre")
     )
     centred = stored(
-        long.join(broadcast_within(stored(centres, "centres")), F.col("lead_component") == F.col("held"))
-        .groupBy("rep", F.col("centre").alias("lead"))
-        .agg(F.min("apart").alias("apart"), F.first("outside").alias("outside"))
-        .where("rep <> lead"),
+        clustered.drop("lead", "lead_apart", "lead_component")
+        .join(broadcast_within(stored(centres, "centres")), F.col("cluster") == F.col("held"))
+        .groupBy("rep", "component", F.col("centre.lead").alias("lead"), F.col("centre.lead_component").alias("around"))
+        .agg(F.min("apart").alias("apart"))
+        .where("rep <> lead")
+        .select("rep", "lead", "apart", (F.col("component") != F.col("around")).alias("outside")),
         "centred",
     )
     short = left.where(F.col("n") <= SHORT_LIST)
