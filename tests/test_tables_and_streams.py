@@ -178,3 +178,20 @@ def test_files_with_other_headers_lose_no_row(spark, folder):
     stored = spark.read.option("mergeSchema", True).parquet(table)
     assert sorted(r.x for r in stored.collect()) == [5, 6]
     assert spark.read.parquet(f"{table}_quarantine").count() == 2
+
+
+def test_first_load_of_an_upsert_is_not_cached(spark, folder, monkeypatch):
+    """Without a table the rows are read once, by the write; with one they are read twice."""
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, at int, v string").withColumn("day", F.lit(1))
+    kept, plain = [], type(rows).persist
+
+    def spied(self, *args, **kwargs):
+        kept.append(self)
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(rows), "persist", spied)
+    for n in (0, 1):
+        tables.upsert(rows, f"{folder}/t", ["k"], [F.col("at").desc()], ["day"])
+        assert len(kept) == n
+        got = spark.read.parquet(f"{folder}/t").select("k", "at", "v").collect()
+        assert sorted(tuple(r) for r in got) == [(1, 2, "b"), (2, 1, "c")]
