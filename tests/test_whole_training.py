@@ -51,3 +51,8 @@ def whole(classifiers, quantiles, seen):
 def test_batch_score(spark, fitted):
     assert q_models.batch_score(spark, "").count() == 3
     whole(1, 3, fitted)
+
+
+def test_fault_classifier(spark, fitted):
+    assert q_models.fault_classifier(spark, "").count() >= 120
+    whole(1, 0, fitted)
