@@ -56,3 +56,9 @@ def test_batch_score(spark, fitted):
 def test_fault_classifier(spark, fitted):
     assert q_models.fault_classifier(spark, "").count() >= 120
     whole(1, 0, fitted)
+
+
+def test_rul_checks(spark, fitted):
+    r = q_models.rul_checks(spark, "").first()
+    assert (r.n_rows, r.ordered, r.beats_a_constant) == (120, True, True)
+    whole(0, 3, fitted)

@@ -283,7 +283,7 @@ def rul_checks(spark, sf_dir):
     """What fitted quantiles must hold on the rows they have not seen: order, shares and a lower loss than one number."""
     rows = fv.scada(spark, sf_dir).where("sensor_1_avg IS NOT NULL").select(
         "id", (F.col("sensor_1_avg") + F.col("sensor_2_avg") * 3).alias("hours_to_failure"), "sensor_2_avg", "sensor_4_avg")
-    _, scored = learning.fit_rul(rows, ["sensor_2_avg", "sensor_4_avg"], ["id"], QUANTILES, ROUNDS, DEPTH)
+    _, scored = learning.fit_rul(rows, ["sensor_2_avg", "sensor_4_avg"], ["id"], QUANTILES)
     middle = scored.agg(F.median("hours_to_failure").alias("m"))
     actual = F.col("hours_to_failure")
     loss = F.avg(learning.pinball("hours_to_failure", "rul_p50", 0.5))
