@@ -62,3 +62,8 @@ def test_rul_checks(spark, fitted):
     r = q_models.rul_checks(spark, "").first()
     assert (r.n_rows, r.ordered, r.beats_a_constant) == (120, True, True)
     whole(0, 3, fitted)
+
+
+def test_rul_quantile(spark, fitted):
+    assert q_models.rul_quantile(spark, "").count() == 120
+    whole(0, 3, fitted)

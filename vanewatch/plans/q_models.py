@@ -272,7 +272,7 @@ def rul_quantile(spark, sf_dir):
     f = stored_features(spark, sf_dir)
     labels = rul.rul_labels(fv.tagged(spark, sf_dir), fv.stored_faults(spark, sf_dir))
     labelled = rul.labelled_for_rul(f, labels)
-    _, scored = learning.fit_rul(labelled, sensors.feature_columns(f), training.KEYS, QUANTILES, ROUNDS, DEPTH)
+    _, scored = learning.fit_rul(labelled, sensors.feature_columns(f), training.KEYS, QUANTILES)
     return scored.select(*training.KEYS, "hours_to_failure", "rul_p10", "rul_p50", "rul_p90")
 
 
