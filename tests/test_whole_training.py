@@ -67,3 +67,8 @@ def test_rul_checks(spark, fitted):
 def test_rul_quantile(spark, fitted):
     assert q_models.rul_quantile(spark, "").count() == 120
     whole(0, 3, fitted)
+
+
+def test_training_report(spark, fitted):
+    assert q_models.training_report(spark, "").count() == 6
+    whole(1, 3, fitted)
